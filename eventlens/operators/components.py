@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, measured_cut
 from ..skew import HEAVY_ROWS, skew_join
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    row = edges.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.bit_xor(F.xxhash64("u", "v")).alias("x"),
-        F.bit_xor(F.xxhash64("v", F.lit(1), "u")).alias("y"),
-    ).first()
-    return row["n"], row["x"], row["y"]
+def _store(edges: DataFrame, name: str) -> tuple[DataFrame, dict]:
+    """Store an edge table; its row count and two checksums tell whether a round changed it."""
+    return measured_cut(
+        edges,
+        name,
+        n=F.count(F.lit(1)),
+        x=F.bit_xor(F.xxhash64("u", "v")),
+        y=F.bit_xor(F.xxhash64("v", F.lit(1), "u")),
+    )
 
 
 def _large_star(edges: DataFrame, total: int, heavy_rows: int) -> DataFrame:
@@ -51,19 +53,18 @@ def connected_components(
     only ever aggregated or split, never collected.
     """
     given = cut(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")), "edges")
-    current = cut(
+    current, mark = _store(
         given.filter("u <> v")
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .distinct(),
         "start",
     )
-    mark = _fingerprint(current)
-    while mark[0]:
-        spread = _large_star(current, mark[0], heavy_rows)
-        if mark[0] > heavy_rows:
+    while mark["n"]:
+        spread = _large_star(current, mark["n"], heavy_rows)
+        if mark["n"] > heavy_rows:
             spread = cut(spread, "large")
-        current = cut(_small_star(spread, mark[0], heavy_rows), "small")
-        before, mark = mark, _fingerprint(current)
+        before = mark
+        current, mark = _store(_small_star(spread, before["n"], heavy_rows), "small")
         if before == mark:
             break
     vertices = given.select(F.col("u").alias("id")).union(given.select("v")).distinct()

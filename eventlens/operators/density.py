@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, measured_cut
 from ..skew import HEAVY_ROWS, skew_join
 from .components import connected_components
 
@@ -38,6 +38,7 @@ class Neighbors:
     (``ca, sa, cb, sb, n_a, n_b`` and attributes), plus single member pairs ``(a, b)``."""
 
     members: DataFrame
+    total: int
     coords: list[str]
     side: float
     inside: dict[int, DataFrame] = field(default_factory=dict)
@@ -108,13 +109,12 @@ def find_neighbors(
     leaf_pairs: int = LEAF_PAIRS,
     heavy_rows: int = HEAVY_ROWS,
 ) -> Neighbors:
-    """Settle every cell pair; ``members`` should be a stored table."""
+    """Settle every cell pair; ``members`` and ``cell_pairs`` should be stored tables."""
     coords = list(coords or [])
     attrs = [c for c in cell_pairs.columns if c not in ("ca", "cb")]
-    found = Neighbors(members, coords, side, heavy_rows=heavy_rows)
+    found = Neighbors(members, members.count(), coords, side, heavy_rows=heavy_rows)
     zero = sub_box(coords, side, 0)
     pending = cell_pairs.select("ca", zero.alias("sa"), "cb", zero.alias("sb"), *attrs)
-    pending = cut(pending, "cell-pairs")
     for level in range(MAX_LEVEL + 1):
         boxes = cut(_boxes(members, coords, side, level), "boxes")
         by_parent = level if level else None
@@ -137,19 +137,19 @@ def find_neighbors(
             .when((work <= leaf_pairs) | F.lit(last), "leaf")
             .otherwise("open")
         )
-        settled = cut(
+        settled, sizes = measured_cut(
             joined.select("ca", "sa", "cb", "sb", "n_a", "n_b", *attrs, status.alias("status"))
             .filter("status <> 'apart'"),
             "settled",
+            **{s: F.count_if(F.col("status") == s) for s in ("inside", "leaf", "open")},
         )
-        sizes = {r["status"]: r["count"] for r in settled.groupBy("status").count().collect()}
-        if sizes.get("inside"):
+        if sizes["inside"]:
             found.inside[level] = settled.filter("status = 'inside'").drop("status")
-        if sizes.get("leaf"):
+        if sizes["leaf"]:
             found.leaves.append(
                 _compare_members(found, settled.filter("status = 'leaf'"), level, within, attrs)
             )
-        if not sizes.get("open"):
+        if not sizes["open"]:
             break
         pending = settled.filter("status = 'open'").select("ca", "sa", "cb", "sb", *attrs)
     return found
@@ -197,7 +197,7 @@ def neighbor_counts(found: Neighbors, weight: str | None = None, self_weight: in
         )
         parts.append(
             skew_join(found.boxed(level), per_box, ["cell", "sub"], heavy_rows=found.heavy_rows,
-                      total=found.members.count()).select("id", "n")
+                      total=found.total).select("id", "n")
         )
     leaf = found.leaf_pairs()
     if leaf is not None:
@@ -230,7 +230,6 @@ def _density_edges(found: Neighbors, marked: DataFrame, through_border: bool) ->
     pairs. ``marked`` is the members table with ``core``. With ``through_border`` a core links
     all its neighbours, else only its core neighbours."""
     parts = []
-    total = marked.count()
     for level in found.inside:
         core_id = F.when(F.col("core"), F.col("id"))
         boxes = _box_sums(
@@ -256,7 +255,7 @@ def _density_edges(found: Neighbors, marked: DataFrame, through_border: bool) ->
             .agg(F.max("core_head").alias("core_head"), F.max("head").alias("head"))
         )
         rows = marked.select("id", "core", "cell", sub_box(found.coords, found.side, level))
-        hung = skew_join(rows, joins, ["cell", "sub"], heavy_rows=found.heavy_rows, total=total)
+        hung = skew_join(rows, joins, ["cell", "sub"], heavy_rows=found.heavy_rows, total=found.total)
         parts.append(
             hung.filter("core AND core_head IS NOT NULL")
             .select(F.col("core_head").alias("src"), F.col("id").alias("dst"))
@@ -302,7 +301,7 @@ def border_claims(found: Neighbors, marked: DataFrame, labels: DataFrame) -> Dat
         )
         border = named.filter("NOT core").select("id", "cell", box)
         parts.append(skew_join(border, reach, ["cell", "sub"], heavy_rows=found.heavy_rows,
-                               total=named.count()).select("id", "cluster"))
+                               total=found.total).select("id", "cluster"))
     leaf = found.leaf_pairs()
     if leaf is not None:
         both = leaf.select("a", "b").union(leaf.select("b", "a"))

@@ -44,9 +44,8 @@ def half_offsets(dims: int) -> list[tuple[int, ...]]:
     return [o for o in itertools.product((-1, 0, 1), repeat=dims) if o >= (0,) * dims]
 
 
-def adjacent_cells(cells: DataFrame) -> DataFrame:
+def adjacent_cells(cells: DataFrame, dims: int) -> DataFrame:
     """Unordered pairs ``(ca, cb)`` of occupied neighbouring cells, each cell with itself too."""
-    dims = len(cells.select("cell").first()["cell"]) if cells.take(1) else 1
     steps = F.array(*[F.array(*[F.lit(x).cast("bigint") for x in o]) for o in half_offsets(dims)])
     wanted = cells.select(F.col("cell").alias("ca"), F.explode(steps).alias("step")).select(
         "ca", F.zip_with("ca", "step", lambda c, s: c + s).alias("cb")
@@ -69,7 +68,7 @@ def point_neighbors(
     """
     coords = coords or ["x", "y"]
     members = cut(points.select("id", grid_cell(coords, eps), *coords), "points")
-    pairs = adjacent_cells(cut(members.select("cell").distinct(), "cells"))
+    pairs = cut(adjacent_cells(members.select("cell").distinct(), len(coords)), "cell-pairs")
     return find_neighbors(
         members,
         pairs,
@@ -189,7 +188,7 @@ def metric_neighbors(
     cells = named.withColumnRenamed("id", "cell")
     members = cut(skew_join(rows, cells, ["value"], heavy_rows=heavy_rows).select("id", "cell"), "members")
     return find_neighbors(
-        members, pairs.unionByName(same), lambda diffs, attr: F.lit(True), heavy_rows=heavy_rows
+        members, cut(pairs.unionByName(same), "cell-pairs"), lambda diffs, attr: F.lit(True), heavy_rows=heavy_rows
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def local_session(cpus: int = 8, memory: str = "20g") -> SparkSession:
@@ -53,3 +53,18 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def measured_cut(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``cut`` plus aggregates over the rows, taken while they are written."""
+    seen = Observation()
+    exprs = [expr.alias(metric) for metric, expr in metrics.items()]
+    stored = cut(df.observe(seen, *exprs), name)
+    return stored, seen.get
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use all cores where a few small files would keep most of them idle. With as many files as
+    cores, which is always so on large data, nothing is moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df

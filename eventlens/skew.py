@@ -67,11 +67,15 @@ def group_pairs(
     rows: DataFrame,
     keys: list[str],
     id_col: str,
+    step: str | None = None,
     heavy_rows: int = 20_000,
     total: int | None = None,
 ) -> DataFrame:
-    """Pairs ``a < b`` of rows with equal ``keys``: columns ``keys``, then every other column
-    with the suffixes ``_a`` and ``_b``.
+    """Unordered pairs of rows with equal ``keys``: columns ``keys``, then every other column with
+    the suffixes ``_a`` and ``_b``; within a group ``a < b``.
+
+    With ``step``, one of the keys and an integer, rows also meet those whose ``step`` is one
+    higher; such pairs have any order of ids.
 
     A group above ``heavy_rows`` is laid out as a square of parts, one join key per square, so
     its pairs spread over many tasks instead of one.
@@ -82,16 +86,24 @@ def group_pairs(
     def side(df: DataFrame, suffix: str, *extra: str) -> DataFrame:
         return df.select(*keys, *extra, *[F.col(c).alias(f"{c}_{suffix}") for c in others])
 
-    ordered = F.col(f"{id_col}_a") < F.col(f"{id_col}_b")
+    left = rows.withColumn("_same", F.lit(True))
+    if step:
+        offsets = F.explode(F.array(F.lit(0), F.lit(1)))
+        left = (
+            rows.withColumn("_step", offsets)
+            .withColumn("_same", F.col("_step") == 0)
+            .withColumn(step, F.col(step) + F.col("_step"))
+            .drop("_step")
+        )
+    ordered = ~F.col("_same") | (F.col(f"{id_col}_a") < F.col(f"{id_col}_b"))
     if total <= heavy_rows:
-        return side(rows, "a").join(side(rows, "b"), keys).filter(ordered)
-    heavy = F.broadcast(heavy_keys(rows, keys, heavy_limit(total, heavy_rows)))
-    marked = rows.join(heavy, keys, "left").withColumn("_own", part_of(id_col))
-    left = marked.withColumn("_i", F.col("_own")).withColumn("_j", all_parts())
-    right = marked.withColumn("_j", F.col("_own")).withColumn("_i", all_parts())
+        return side(left, "a", "_same").join(side(rows, "b"), keys).filter(ordered).drop("_same")
+    heavy = F.broadcast(heavy_keys(left, keys, heavy_limit(total, heavy_rows)))
+    left = left.join(heavy, keys, "left").withColumn("_i", part_of(id_col)).withColumn("_j", all_parts())
+    right = rows.join(heavy, keys, "left").withColumn("_j", part_of(id_col)).withColumn("_i", all_parts())
     return (
-        side(left, "a", "_i", "_j")
+        side(left, "a", "_same", "_i", "_j")
         .join(side(right, "b", "_i", "_j"), [*keys, "_i", "_j"])
         .filter(ordered)
-        .drop("_i", "_j")
+        .drop("_same", "_i", "_j")
     )
