@@ -1,0 +1,6 @@
+"""All queries, by name."""
+
+from . import points
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "points"]
