@@ -1,6 +1,6 @@
 """All queries, by name."""
 
-from . import points
+from . import points, texts
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "points"]
+__all__ = ["ORACLES", "QUERIES", "points", "texts"]

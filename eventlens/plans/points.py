@@ -125,11 +125,8 @@ def _cluster_report(spark, sf):
 
 
 @query("cluster_csv", f"""
-{NEIGHBORS} SELECT CAST(floor(x) AS VARCHAR) || '.0,' || CAST(floor(y) AS VARCHAR) || '.0,'
-|| CAST(coalesce(cluster, -2) AS VARCHAR) AS value
-FROM (SELECT id, CAST(x AS BIGINT) - CASE WHEN CAST(x AS BIGINT) > x THEN 1 ELSE 0 END AS x,
-      CAST(y AS BIGINT) - CASE WHEN CAST(y AS BIGINT) > y THEN 1 ELSE 0 END AS y FROM pts)
-LEFT JOIN labels USING (id)
+{NEIGHBORS} SELECT CAST(floor(x) AS VARCHAR) || ',' || CAST(floor(y) AS VARCHAR) || ','
+|| CAST(coalesce(cluster, -2) AS VARCHAR) AS value FROM pts LEFT JOIN labels USING (id)
 """)
 def _cluster_csv(spark, sf):
     labelled = _clustered(spark, sf).points.join(inputs.points(spark, sf), "id").select(
@@ -199,17 +196,16 @@ def _rank_cores(spark, sf):
 
 
 @query("connected_components", """
-WITH RECURSIVE links AS (
-  SELECT l_partkey * 2 AS src, l_suppkey * 2 + 1 AS dst FROM lineitem WHERE l_quantity = 1 AND l_discount = 0
-  UNION SELECT l_suppkey * 2 + 1, l_partkey * 2 FROM lineitem WHERE l_quantity = 1 AND l_discount = 0),
+WITH RECURSIVE steps AS (SELECT conv_id * 1000 + turn AS src, conv_id * 1000 + turn + 1 AS dst FROM conversations),
+links AS (SELECT src, dst FROM steps UNION SELECT dst, src FROM steps),
 reach AS (SELECT DISTINCT src AS id, src AS label FROM links
           UNION SELECT l.dst, r.label FROM reach r JOIN links l ON l.src = r.id WHERE l.dst > r.label)
 SELECT id, min(label) AS component FROM reach GROUP BY id
 """)
 def _components(spark, sf):
-    lines = inputs.table(spark, sf, "lineitem").filter("l_quantity = 1 AND l_discount = 0")
-    edges = lines.select((F.col("l_partkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst"))
-    return connected_components(edges)
+    turn = F.col("conv_id") * 1000 + F.col("turn")
+    turns = inputs.table(spark, sf, "conversations")
+    return connected_components(turns.select(turn.alias("src"), (turn + 1).alias("dst")))
 
 
 MANHATTAN = "abs(a.x - b.x) + abs(a.y - b.y)"
