@@ -22,13 +22,16 @@ def link_entities(texts: DataFrame, gazetteer: DataFrame, max_words: int = 3) ->
 
     Spans are joined with the gazetteer; a very common word is split over tasks.
     """
-    words = token_offsets(texts, "id", "text")
     order = Window.partitionBy("id").orderBy("pos")
-    parts = [F.lower("token")] + [F.lower(F.lead("token", k).over(order)) for k in range(1, max_words)]
-    spans = []
-    for k in range(1, max_words + 1):
-        phrase = F.concat(*[p for i, part in enumerate(parts[:k]) for p in ([F.lit(" ")] if i else []) + [part]])
-        spans.append(phrase)
+    words = token_offsets(texts, "id", "text").select(
+        "id", "start",
+        *[F.lower(F.lead("token", k).over(order)).alias(f"w{k}") for k in range(max_words)],
+    )
+    spans = [
+        # a span that runs past the last word is null
+        F.concat(*[p for k in range(n) for p in (F.lit(" " if k else ""), F.col(f"w{k}"))])
+        for n in range(1, max_words + 1)
+    ]
     rows = words.select("id", "start", F.explode(F.array(*spans)).alias("surface"))
     rows = cut(rows.filter("surface IS NOT NULL"), "spans")
     accepted = gazetteer.filter(

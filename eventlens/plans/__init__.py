@@ -1,6 +1,6 @@
 """All queries, by name."""
 
-from . import points, texts
+from . import entities, events, points, signatures, texts
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "points", "texts"]
+__all__ = ["ORACLES", "QUERIES", "entities", "events", "points", "signatures", "texts"]

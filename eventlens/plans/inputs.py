@@ -30,20 +30,21 @@ def hashtags(text: Column) -> Column:
 def tweets(spark: SparkSession, sf: str) -> DataFrame:
     """Documents dated by the event with their number."""
     events = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"))
-    rows = texts(spark, sf).join(events, "id").withColumn("hashtags", hashtags(F.col("text")))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
+    rows = docs.join(events, "id").withColumn("hashtags", hashtags(F.col("text")))
     joined = F.lower(F.array_join("hashtags", " "))
-    return rows.withColumn("split_hashtags", F.when(F.col("id") % 3 == 0, joined))
+    return rows.withColumn("split_hashtags", F.when(F.col("lang") == "en", joined))
 
 
 def raw_tweets(spark: SparkSession, sf: str) -> DataFrame:
-    """Tweets as the nested documents they are read from; every seventh has no text field."""
+    """Tweets as the nested documents they are read from; the Spanish ones have no text field."""
     tags = F.transform(
         "hashtags",
         lambda h: F.struct(h.alias("text"), F.array(F.lit(0), F.length(h)).alias("indices")),
     )
     return tweets(spark, sf).select(
         F.col("id").alias("_id"),
-        F.when(F.col("id") % 7 != 0, F.col("text")).alias("cleaned_text"),
+        F.when(F.col("lang") != "es", F.col("text")).alias("cleaned_text"),
         F.col("created_at").cast("timestamp").alias("created_at"),
         F.struct(tags.alias("hashtags")).alias("entities"),
         F.col("split_hashtags").alias("splitted_hashtags"),
@@ -110,8 +111,8 @@ def tagged_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 def responses(spark: SparkSession, sf: str) -> DataFrame:
     """``(id, response, tagged)``: what an entity-linking service might answer. Capitalised words
-    are the entities; scores, ranks and types follow from a word's length and place. Of ten
-    answers one is missing and one is empty."""
+    are the entities; scores, ranks and types follow from a word's length and place. Spanish texts
+    have no answer, German ones an empty answer."""
     token = F.struct("begin", "end", "word", "tag", "lemma")
     n, begin = F.length("word"), F.col("begin")
     resource = F.when(
@@ -134,9 +135,10 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
         F.array_sort(F.collect_list(resource)).alias("found"),
     )
     answer = F.to_json(F.struct(F.transform("found", lambda f: f["r"]).alias("Resources")))
-    return rows.select(
+    langs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang")
+    return rows.join(langs, "id").select(
         "id",
-        F.when(F.col("id") % 10 == 1, "{}").when(F.col("id") % 10 != 0, answer).alias("response"),
+        F.when(F.col("lang") == "de", "{}").when(F.col("lang") != "es", answer).alias("response"),
         "tagged",
     )
 
@@ -173,15 +175,15 @@ def gazetteer(spark: SparkSession, sf: str) -> DataFrame:
 def part_resources(spark: SparkSession, sf: str) -> DataFrame:
     """Parts as knowledge-base pages, linked from the words of their names and their brand."""
     return table(spark, sf, "part").select(
-        "p_partkey",
+        "p_partkey", "p_size",
         F.concat(F.lit(URI), F.col("p_partkey").cast("string")).alias("uri"),
         F.concat(F.split("p_name", " "), F.array("p_brand")).alias("in_links"),
     )
 
 
 def page_links(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages of four parts in five; links repeat."""
-    rows = part_resources(spark, sf).filter("p_partkey % 5 <> 0")
+    """Pages of all but the largest parts; links repeat."""
+    rows = part_resources(spark, sf).filter("p_size <= 40")
     return rows.select("uri", F.concat("in_links", "in_links").alias("in_links"))
 
 

@@ -34,11 +34,10 @@ def _euclidean(spark, sf):
 
 @query("eps_join_points", f"""
 WITH {sql.POINTS}, {sql.point_pairs(EPS)}
-SELECT src, dst, round(distance, 6) AS distance FROM near
+SELECT src, dst, distance FROM near
 """)
 def _eps_join(spark, sf):
-    pairs = P.eps_join(inputs.stored(inputs.points(spark, sf)), EPS)
-    return pairs.withColumn("distance", F.round("distance", 6))
+    return P.eps_join(inputs.stored(inputs.points(spark, sf)), EPS)
 
 
 @query("neighbor_pairs", f"""

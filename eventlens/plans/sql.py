@@ -74,9 +74,9 @@ HASHTAGS = (
 )
 
 TWEETS = f"""
-tagged AS (SELECT doc_id AS id, text, ts AS created_at, {HASHTAGS} AS hashtags
+tagged AS (SELECT doc_id AS id, text, lang, ts AS created_at, {HASHTAGS} AS hashtags
            FROM documents JOIN events ON doc_id = event_id),
-tweets AS (SELECT *, CASE WHEN id % 3 = 0 THEN lower(array_to_string(hashtags, ' ')) END AS split_hashtags
+tweets AS (SELECT *, CASE WHEN lang = 'en' THEN lower(array_to_string(hashtags, ' ')) END AS split_hashtags
            FROM tagged)"""
 
 BOOSTED = "text || ' ' || coalesce(split_hashtags, '') || ' ' || array_to_string(hashtags, ' ')"
@@ -207,12 +207,12 @@ entities AS (SELECT id, begin AS start, n AS width, CASE WHEN n = 10 THEN 'Day'
              CASE n % 3 WHEN 0 THEN 0.8 WHEN 1 THEN 0.81 ELSE 0.95 END AS score,
              CASE begin % 4 WHEN 0 THEN 0.0 WHEN 1 THEN 0.5 WHEN 2 THEN 0.51 ELSE 0.2 END AS second_rank,
              {types_of('n')} AS types, {kind_of('n')} AS kind
-             FROM tagged WHERE regexp_matches(word, '^[A-Z][a-z]{{5,}}$') AND id % 10 > 1),
+             FROM tagged WHERE regexp_matches(word, '^[A-Z][a-z]{{5,}}$') AND id IN (SELECT doc_id FROM documents WHERE lang IN ('en', 'fr'))),
 annotations AS (SELECT * FROM entities e WHERE score > 0.8 AND second_rank <= 0.5
                 AND uri <> '{URI}Music' AND surface <> 'Day'
                 AND EXISTS (SELECT 1 FROM tagged t WHERE t.id = e.id AND t.tag LIKE 'N%'
                             AND t.begin BETWEEN e.start AND e.start + length(e.surface)))"""
 
 PART_RESOURCES = f"""
-parts AS (SELECT p_partkey, '{URI}' || CAST(p_partkey AS VARCHAR) AS uri,
+parts AS (SELECT p_partkey, p_size, '{URI}' || CAST(p_partkey AS VARCHAR) AS uri,
           list_concat(string_split(p_name, ' '), [p_brand]) AS in_links FROM part)"""

@@ -25,7 +25,7 @@ def _joined(tokens, sep=" "):
 
 @query("tweets_projection", f"""
 WITH {sql.TWEETS}
-SELECT id, CASE WHEN id % 7 <> 0 THEN text END AS text, created_at, array_to_string(hashtags, ' ') AS hashtags,
+SELECT id, CASE WHEN lang <> 'es' THEN text END AS text, created_at, array_to_string(hashtags, ' ') AS hashtags,
        split_hashtags FROM tweets
 """)
 def _tweets_projection(spark, sf):
@@ -38,7 +38,7 @@ def _tweets_projection(spark, sf):
 
 
 @query("require_field", """
-SELECT count(*) AS with_text FROM documents JOIN events ON doc_id = event_id WHERE doc_id % 7 <> 0
+SELECT count(*) AS with_text FROM documents JOIN events ON doc_id = event_id WHERE lang <> 'es'
 """)
 def _require_field(spark, sf):
     raw = tweets.having_field(inputs.raw_tweets(spark, sf), "cleaned_text")
@@ -90,16 +90,16 @@ def _row_count(spark, sf):
 
 @query("read_id_text", """
 SELECT conv_id * 1000 + turn AS id, regexp_replace(text, '[\\n\\r\\t]', ' ', 'g') AS text
-FROM conversations WHERE role <> 'system' AND turn % 3 <> 2
+FROM conversations WHERE role <> 'assistant'
 """)
 def _read_id_text(spark, sf):
-    rows = inputs.table(spark, sf, "conversations").filter("role <> 'system'")
+    rows = inputs.table(spark, sf, "conversations")
     key = (F.col("conv_id") * 1000 + F.col("turn")).cast("string")
     text = F.regexp_replace("text", "[\n\r\t]", " ")
-    sep = F.when(F.col("turn") % 3 == 2, " ").otherwise("\t")
+    sep = F.when(F.col("role") == "assistant", " ").otherwise("\t")
     path = new_path(spark, "id-text")
     rows.select(F.concat(key, sep, text)).write.text(path)
-    return files.read_id_text(spark, path)
+    return files.read_id_text(spark, path)  # an assistant's lines have no second field
 
 
 def _dictionary(spark, sf):
@@ -238,9 +238,8 @@ def _hashtag_boost(spark, sf):
 
 
 @query("token_offsets", f"""
-WITH found AS (SELECT doc_id AS id, {sql.words('text')} AS w, text FROM documents),
-pieces AS (SELECT id, unnest(range(len(w))) AS pos, unnest(w) AS token FROM found),
-spaced AS (SELECT f.id, string_agg(token, chr(1) ORDER BY pos) AS t FROM found f JOIN pieces USING (id) GROUP BY f.id)
+WITH found AS (SELECT doc_id AS id, {sql.words('text')} AS w FROM documents),
+pieces AS (SELECT id, unnest(range(len(w))) AS pos, unnest(w) AS token FROM found)
 SELECT id, pos, token, length(token) AS width FROM pieces
 """)
 def _token_offsets(spark, sf):
@@ -304,11 +303,6 @@ def _remove_accents(spark, sf):
 
 # --- tagged words ------------------------------------------------------------------------------
 
-CONTENT = f"length({{0}}) > 2 AND tag NOT IN {sql.text_list(W.UNWANTED_TAGS)}"
-# no look-back in this SQL: a repeated group of up to four letters, spelled out per length
-LONG_STOP = sql.text_list(W.stop_words(True))
-
-
 def _pairs_text(pairs):
     return F.array_join(F.transform(pairs, lambda p: F.concat_ws("/", p["lemma"], p["tag"])), " ")
 
