@@ -47,20 +47,25 @@ def skew_join(
     how: str = "inner",
     heavy_rows: int = HEAVY_ROWS,
     total: int | None = None,
+    sized_by: DataFrame | None = None,
+    row_id: list[str] | None = None,
 ) -> DataFrame:
     """Join ``rows`` (any number per key) with ``keyed`` (few per key).
 
     ``rows`` should be a stored table: its size is read first, and below ``heavy_rows`` no key
     can be heavy, so the plain join is used. Above it, heavy keys are split into parts by a hash
-    of the row and the matching ``keyed`` rows are repeated once per part.
+    of the row (of ``row_id``, if given) and the matching ``keyed`` rows are repeated once per
+    part. ``sized_by`` is a stored table with the same number of rows per key, for rows that are
+    computed.
     """
-    total = rows.count() if total is None else total
+    stored = rows if sized_by is None else sized_by
+    total = stored.count() if total is None else total
     if total <= heavy_rows:
         return rows.join(keyed, keys, how)
-    heavy = F.broadcast(heavy_keys(rows, keys, heavy_limit(total, heavy_rows)))
-    left = rows.join(heavy, keys, "left").withColumn("_part", part_of(*rows.columns)).drop("_parts")
-    right = keyed.join(heavy, keys, "left").withColumn("_part", all_parts()).drop("_parts")
-    return left.join(right, [*keys, "_part"], how).drop("_part")
+    heavy = F.broadcast(heavy_keys(stored, keys, heavy_limit(total, heavy_rows)))
+    left = rows.join(heavy, keys, "left").withColumn("_part", part_of(*(row_id or rows.columns)))
+    right = keyed.join(heavy, keys, "left").withColumn("_part", all_parts())
+    return left.drop("_parts").join(right.drop("_parts"), [*keys, "_part"], how).drop("_part")
 
 
 def group_pairs(
