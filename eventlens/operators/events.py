@@ -97,25 +97,25 @@ def event_clusters(
     head_rows = stored.join(heads.select(F.col("cell").alias("id"), "copies"), "id")
 
     tf = cut(V.term_freq(head_rows, "copies"), "tf")
-    vectors = cut(V.tfidf(tf, copies="copies", heavy_rows=heavy_rows), "vectors")
-    units = cut(V.unit_vectors(spread(vectors, "id")), "units")
+    vectors = V.tfidf(tf, copies="copies", heavy_rows=heavy_rows)
+    profiles = cut(V.profiles(vectors), "profiles")
     blocks = heads.select(F.col("cell").alias("id"), "block")
-    cells = vectors.select("id").distinct()
+    cells = profiles.select("id")
     if candidates == "lsh":
-        hashed = vectors
+        hashed = profiles
         if lsh_tokens is not None:
             other = head_rows.drop("tokens").withColumnRenamed("lsh_tokens", "tokens")
             other = other.filter(F.size("tokens") >= V.MIN_TOKENS)
             other_tf = cut(V.term_freq(other, "copies"), "lsh-tf")
-            hashed = cut(V.tfidf(other_tf, copies="copies", heavy_rows=heavy_rows), "lsh-vectors")
-        sigs = cut(lsh.signatures(spread(hashed, "id"), rows, bands, seed), "signatures")
+            hashed = V.profiles(V.tfidf(other_tf, copies="copies", heavy_rows=heavy_rows))
+        sigs = cut(lsh.profile_signatures(spread(hashed), rows, bands, seed), "signatures")
         tables = lsh.hash_tables(sigs)
         cells = cells.join(sigs.select("id"), "id")
-        near = similar.bucket_candidates(units, threshold, blocks, tables, bucket_rows)
-        scored = similar.similar_pairs(units, near, threshold, sigs)
+        near = similar.bucket_candidates(profiles, threshold, blocks, tables, bucket_rows)
+        scored = similar.similar_pairs(profiles, near, threshold, sigs)
     else:
-        near = similar.term_candidates(units, threshold, blocks)
-        scored = similar.similar_pairs(units, near, threshold)
+        near = similar.term_candidates(profiles, threshold, blocks)
+        scored = similar.similar_pairs(profiles, near, threshold)
     cells = cut(cells, "cells")
     scored = scored.filter(S.may_be_close(F.col("cos"), eps))
     itself = cells.select(

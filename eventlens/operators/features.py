@@ -102,13 +102,26 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
     return vectors.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(own)))
 
 
-def pack(vectors: DataFrame) -> DataFrame:
-    """``(id, weights)`` with one map from term to weight per document."""
+def profiles(vectors: DataFrame) -> DataFrame:
+    """``(id, norm, entries)``: one row per vector, entries ``(order, term, w)`` from the most
+    common term to the rarest. What follows from a single vector needs no further shuffle."""
+    order = -F.col("df") if "df" in vectors.columns else F.lit(0).cast("bigint")
     return vectors.groupBy("id").agg(
-        F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("weights")
+        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
+        F.array_sort(F.collect_list(F.struct(order.alias("order"), "term", "w"))).alias("entries"),
     )
 
 
+def weights(entries: Column) -> Column:
+    """Entries as a map from term to weight."""
+    return F.map_from_entries(F.transform(entries, lambda e: F.struct(e["term"], e["w"])))
+
+
+def pack(vectors: DataFrame) -> DataFrame:
+    """``(id, weights)`` with one map from term to weight per document."""
+    return profiles(vectors).select("id", weights(F.col("entries")).alias("weights"))
+
+
 def packed_dot(a: Column, b: Column) -> Column:
     """Dot product of two packed vectors."""
     shared = F.map_zip_with(a, b, lambda term, x, y: F.coalesce(x * y, F.lit(0.0)))

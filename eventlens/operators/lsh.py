@@ -9,58 +9,69 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
 from ..skew import HEAVY_ROWS, skew_join
+from . import features as V
 
 ROWS = 4
 BANDS = 4
 SEED = 42
 DIGITS = 9
 
-BITS_PER_CHUNK = 60
 BITS_PER_DIGEST = 240
 
 
-def sign_chunks(term: Column, functions: int, seed: int = SEED) -> list[Column]:
-    """The sign bits of a term, 60 in each long: 15 hex digits of a SHA-256 digest."""
-    chunks = []
-    for start in range(0, functions, BITS_PER_CHUNK):
-        block, place = divmod(start, BITS_PER_DIGEST)
-        digest = F.sha2(F.concat(F.lit(f"{seed}.{block}:"), term), 256)
-        hex_digits = F.substring(digest, 1 + place // 4, BITS_PER_CHUNK // 4)
-        chunks.append(F.conv(hex_digits, 16, 10).cast("bigint"))
-    return chunks
+def sign_digest(term: Column, block: int, seed: int = SEED) -> Column:
+    """A SHA-256 digest of a term as hex text; its first 240 bits are the signs of one block of
+    functions."""
+    return F.sha2(F.concat(F.lit(f"{seed}.{block}:"), term), 256)
 
 
-def sign_bit(chunk: Column, function: int) -> Column:
+def sign_bit(digest: Column, function: int) -> Column:
     """1 if the hyperplane of ``function`` has +1 for the term, 0 if it has -1."""
-    offset = BITS_PER_CHUNK - 1 - function % BITS_PER_CHUNK
-    return F.shiftright(chunk, offset).bitwiseAND(F.lit(1).cast("bigint"))
+    place = function % BITS_PER_DIGEST
+    digit = F.conv(F.substring(digest, place // 4 + 1, 1), 16, 10).cast("int")
+    return F.shiftright(digit, 3 - place % 4).bitwiseAND(F.lit(1))
 
 
-def hash_bits(vectors: DataFrame, rows: int = ROWS, bands: int = BANDS, seed: int = SEED) -> DataFrame:
-    """``(id, bits)``: one bit per function, 1 where the dot product is above zero.
-
-    A term row is taken once per 60 functions, and the products are summed by document and block
-    of functions, combined before the shuffle. Blocks keep the generated code small enough to be
-    compiled.
-    """
+def profile_bits(profiles: DataFrame, rows: int = ROWS, bands: int = BANDS, seed: int = SEED) -> DataFrame:
+    """``(id, bits)`` of profiles ``(id, entries)``: one bit per function, 1 where the dot product
+    is above zero. Digests are made in the JVM; the products of one vector with all hyperplanes
+    are one small matrix product, in Arrow batches."""
     count = rows * bands
-    blocks = F.posexplode(F.array(*sign_chunks(F.col("term"), count, seed))).alias("block", "signs")
-    width = min(count, BITS_PER_CHUNK)
-    dots = [
-        F.sum(F.when(sign_bit(F.col("signs"), i) == 1, F.col("w")).otherwise(-F.col("w")))
-        for i in range(width)
-    ]
-    bits = [F.when(F.round(dot, DIGITS) > 0, "1").otherwise("0") for dot in dots]
-    by_block = vectors.select("id", "w", blocks).groupBy("id", "block").agg(F.concat(*bits).alias("bits"))
-    ordered = F.array_sort(F.collect_list(F.struct("block", "bits")))
-    return by_block.groupBy("id").agg(
-        F.left(F.array_join(F.transform(ordered, lambda b: b["bits"]), ""), F.lit(count)).alias("bits")
+    blocks = range((count + BITS_PER_DIGEST - 1) // BITS_PER_DIGEST)
+
+    @F.pandas_udf("string")
+    def bits(weights: pd.Series, digests: pd.Series) -> pd.Series:
+        out = []
+        for w, hashed in zip(weights, digests):
+            raw = np.frombuffer(b"".join(hashed), dtype=np.uint8).reshape(len(w), len(blocks), 32)
+            signs = np.unpackbits(raw, axis=2)[:, :, :BITS_PER_DIGEST].reshape(len(w), -1)[:, :count]
+            dots = np.asarray(w) @ (2.0 * signs - 1.0)
+            out.append("".join("1" if d > 0 else "0" for d in np.round(dots, DIGITS)))
+        return pd.Series(out)
+
+    digests = F.transform(
+        "entries",
+        lambda e: F.unhex(F.concat(*[sign_digest(e["term"], block, seed) for block in blocks])),
     )
+    return profiles.select("id", bits(F.transform("entries", lambda e: e["w"]), digests).alias("bits"))
+
+
+def hash_bits(vectors: DataFrame, rows: int = ROWS, bands: int = BANDS, seed: int = SEED) -> DataFrame:
+    """``(id, bits)`` of vectors ``(id, term, w)``; one shuffle, by document."""
+    return profile_bits(V.profiles(vectors), rows, bands, seed)
+
+
+def profile_signatures(profiles: DataFrame, rows: int, bands: int, seed: int = SEED) -> DataFrame:
+    """``(id, sigs)`` of profiles."""
+    bits = profile_bits(profiles, rows, bands, seed)
+    return bits.select("id", band_signatures(F.col("bits"), rows, bands).alias("sigs"))
 
 
 def band_signatures(bits: Column, rows: int, bands: int) -> Column:
@@ -74,9 +85,8 @@ def band_signatures(bits: Column, rows: int, bands: int) -> Column:
 
 
 def signatures(vectors: DataFrame, rows: int = ROWS, bands: int = BANDS, seed: int = SEED) -> DataFrame:
-    """``(id, sigs)``."""
-    bits = hash_bits(vectors, rows, bands, seed)
-    return bits.select("id", band_signatures(F.col("bits"), rows, bands).alias("sigs"))
+    """``(id, sigs)`` of vectors."""
+    return profile_signatures(V.profiles(vectors), rows, bands, seed)
 
 
 def hash_tables(sigs: DataFrame) -> DataFrame:

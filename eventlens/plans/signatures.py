@@ -32,9 +32,9 @@ WITH {sql.DOC_VECTORS}, hashed AS (SELECT DISTINCT term, sha256('42.0:' || term)
 SELECT term, {_bit_list(sql.sign('h', i) for i in range(COUNT))} AS signs FROM hashed
 """)
 def _lsh_signs(spark, sf):
-    (chunk,) = lsh.sign_chunks(F.col("term"), COUNT)
-    terms = inputs.vectors(spark, sf).select("term").distinct().withColumn("chunk", chunk)
-    signs = F.concat(*[lsh.sign_bit(F.col("chunk"), i).cast("string") for i in range(COUNT)])
+    terms = inputs.vectors(spark, sf).select("term").distinct()
+    terms = terms.withColumn("digest", lsh.sign_digest(F.col("term"), 0))
+    signs = F.concat(*[lsh.sign_bit(F.col("digest"), i).cast("string") for i in range(COUNT)])
     return terms.select("term", signs.alias("signs"))
 
 
@@ -172,12 +172,12 @@ def _lsh_load_validate(spark, sf):
 # --- similar pairs -----------------------------------------------------------------------------
 
 
-def _units(spark, sf):
-    return inputs.stored(V.unit_vectors(inputs.vectors(spark, sf)))
+def _profiles(vectors):
+    return inputs.stored(V.profiles(vectors))
 
 
-def _one_block(units):
-    return inputs.stored(units.select("id").distinct().withColumn("block", F.lit(0).cast("bigint")))
+def _one_block(profiles):
+    return inputs.stored(profiles.select("id", F.lit(0).cast("bigint").alias("block")))
 
 
 @query("cosine_pairs", f"""
@@ -199,9 +199,9 @@ def _cosine_pairs(spark, sf):
 WITH {sql.DOC_VECTORS}, {sql.COSINES} SELECT a, b, cos FROM cosines WHERE cos >= {THRESHOLD}
 """)
 def _cosine_join(spark, sf):
-    units = _units(spark, sf)
-    near = similar.term_candidates(units, THRESHOLD, _one_block(units))
-    return similar.similar_pairs(units, near, THRESHOLD).select("a", "b", "cos")
+    profiles = _profiles(inputs.vectors(spark, sf))
+    near = similar.term_candidates(profiles, THRESHOLD, _one_block(profiles))
+    return similar.similar_pairs(profiles, near, THRESHOLD).select("a", "b", "cos")
 
 
 SHARED = " + ".join(f"CAST(x.sigs[{t + 1}] = y.sigs[{t + 1}] AS BIGINT)" for t in range(BANDS))
@@ -211,11 +211,10 @@ scores AS (SELECT a, b, cos, {SHARED} AS shared FROM cosines JOIN sigs x ON x.id
 
 
 def _scores(spark, sf, threshold):
-    vectors = inputs.stored(inputs.vectors(spark, sf))
-    units = inputs.stored(V.unit_vectors(vectors))
-    sigs = inputs.stored(lsh.signatures(vectors, ROWS, BANDS))
-    near = similar.bucket_candidates(units, threshold, _one_block(units), lsh.hash_tables(sigs))
-    return similar.similar_pairs(units, near, threshold, sigs)
+    profiles = _profiles(inputs.vectors(spark, sf))
+    sigs = inputs.stored(lsh.profile_signatures(profiles, ROWS, BANDS))
+    near = similar.bucket_candidates(profiles, threshold, _one_block(profiles), lsh.hash_tables(sigs))
+    return similar.similar_pairs(profiles, near, threshold, sigs)
 
 
 @query("candidate_scores", f"""

@@ -73,42 +73,48 @@ def group_pairs(
     keys: list[str],
     id_col: str,
     step: str | None = None,
+    others: DataFrame | None = None,
     heavy_rows: int = 20_000,
-    total: int | None = None,
 ) -> DataFrame:
-    """Unordered pairs of rows with equal ``keys``: columns ``keys``, then every other column with
-    the suffixes ``_a`` and ``_b``; within a group ``a < b``.
+    """Pairs of rows with equal ``keys``: columns ``keys``, then every other column with the
+    suffixes ``_a`` and ``_b``. Each unordered pair once, as ``a < b`` within a group; with
+    ``others``, rows of ``rows`` as ``a`` meet those of ``others`` as ``b``, except themselves.
 
     With ``step``, one of the keys and an integer, rows also meet those whose ``step`` is one
-    higher; such pairs have any order of ids.
+    higher (with ``others``: or one lower); such pairs have any order of ids.
 
     A group above ``heavy_rows`` is laid out as a square of parts, one join key per square, so
     its pairs spread over many tasks instead of one.
     """
-    total = rows.count() if total is None else total
-    others = [c for c in rows.columns if c not in keys]
+    right = rows if others is None else others
+    total = rows.count() if others is None else rows.count() + others.count()
+    values = [c for c in rows.columns if c not in keys]
 
     def side(df: DataFrame, suffix: str, *extra: str) -> DataFrame:
-        return df.select(*keys, *extra, *[F.col(c).alias(f"{c}_{suffix}") for c in others])
+        return df.select(*keys, *extra, *[F.col(c).alias(f"{c}_{suffix}") for c in values])
 
     left = rows.withColumn("_same", F.lit(True))
     if step:
-        offsets = F.explode(F.array(F.lit(0), F.lit(1)))
+        offsets = [0, 1] if others is None else [-1, 0, 1]
         left = (
-            rows.withColumn("_step", offsets)
+            rows.withColumn("_step", F.explode(F.array(*[F.lit(o) for o in offsets])))
             .withColumn("_same", F.col("_step") == 0)
             .withColumn(step, F.col(step) + F.col("_step"))
             .drop("_step")
         )
-    ordered = ~F.col("_same") | (F.col(f"{id_col}_a") < F.col(f"{id_col}_b"))
+    if others is None:
+        wanted = ~F.col("_same") | (F.col(f"{id_col}_a") < F.col(f"{id_col}_b"))
+    else:
+        wanted = F.col(f"{id_col}_a") != F.col(f"{id_col}_b")
     if total <= heavy_rows:
-        return side(left, "a", "_same").join(side(rows, "b"), keys).filter(ordered).drop("_same")
-    heavy = F.broadcast(heavy_keys(left, keys, heavy_limit(total, heavy_rows)))
+        return side(left, "a", "_same").join(side(right, "b"), keys).filter(wanted).drop("_same")
+    sized = left.select(*keys) if others is None else left.select(*keys).unionByName(right.select(*keys))
+    heavy = F.broadcast(heavy_keys(sized, keys, heavy_limit(total, heavy_rows)))
     left = left.join(heavy, keys, "left").withColumn("_i", part_of(id_col)).withColumn("_j", all_parts())
-    right = rows.join(heavy, keys, "left").withColumn("_j", part_of(id_col)).withColumn("_i", all_parts())
+    right = right.join(heavy, keys, "left").withColumn("_j", part_of(id_col)).withColumn("_i", all_parts())
     return (
         side(left, "a", "_same", "_i", "_j")
         .join(side(right, "b", "_i", "_j"), [*keys, "_i", "_j"])
-        .filter(ordered)
+        .filter(wanted)
         .drop("_same", "_i", "_j")
     )
