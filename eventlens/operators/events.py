@@ -92,8 +92,6 @@ def event_clusters(
         stored.groupBy("content", "block").agg(F.min("id").alias("cell"), F.count(F.lit(1)).alias("copies")),
         "heads",
     )
-    rows_ = stored.select("id", "hours", "content", "block")
-    members = skew_join(rows_, heads, ["content", "block"], heavy_rows=heavy_rows)
     head_rows = stored.join(heads.select(F.col("cell").alias("id"), "copies"), "id")
 
     tf = cut(V.term_freq(head_rows, "copies"), "tf")
@@ -136,8 +134,11 @@ def event_clusters(
         pairs.select(F.col("a").alias("ca"), F.col("b").alias("cb"), "cos", "semantic", "shared"),
         "cell-pairs",
     )
+    # cells without a vector go before the join, whose keys the copies make uneven
+    lasting = heads.join(cells.select(F.col("id").alias("cell")), "cell")
+    dated = stored.select("id", "hours", "content", "block")
     members = cut(
-        members.join(cells.select(F.col("id").alias("cell")), "cell").select("id", "cell", "hours"),
+        skew_join(dated, lasting, ["content", "block"], heavy_rows=heavy_rows).select("id", "cell", "hours"),
         "members",
     )
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 SMOOTHING = 0.5
+SERIES_PARTS = 64
 
 
 def moving_average(
@@ -19,17 +20,18 @@ def moving_average(
 
     Written out, the value ``r`` places from the end weighs ``a (1 - a)^r``, and the first one
     ``(1 - a)^(n - 1)``. Once a weight is 0 in double precision, all earlier values add exactly
-    0, so only the last ones of a series are ranked: Spark limits each group before the shuffle,
-    and a long series never meets in one task.
+    0, so only the last ones of a series matter. They are first sought in parts of every series,
+    so that a long one never meets in one task, and then among what the parts have left.
     """
     decay = 1.0 - smoothing
     reach = 2 if decay == 0 else math.ceil(1100 * math.log(2) / -math.log(decay)) + 1
-    latest = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
-    tail = (
-        df.select(key, *order, F.col(value).cast("double").alias("x"))
-        .withColumn("r", F.row_number().over(latest))
-        .filter(F.col("r") <= reach)
-    )
+    latest = [F.desc(c) for c in order]
+    rows = df.select(key, *order, F.col(value).cast("double").alias("x"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64(*order), F.lit(SERIES_PARTS)))
+    own = Window.partitionBy(key, "part").orderBy(*latest)
+    rows = rows.withColumn("r", F.row_number().over(own)).filter(F.col("r") <= reach)
+    whole = Window.partitionBy(key).orderBy(*latest)
+    tail = rows.withColumn("r", F.row_number().over(whole)).filter(F.col("r") <= reach)
     weighed = F.col("x") * F.pow(F.lit(decay), F.col("r") - 1)
     # the first value has no predecessor, so it also takes the weight its predecessors would have
     first_extra = F.max_by(weighed, "r") * decay
