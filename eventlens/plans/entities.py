@@ -152,26 +152,23 @@ def _links(col):
 
 
 @query("resource_lookup", f"""
-WITH {sql.PART_RESOURCES}
-SELECT uri, CASE WHEN p_size <= 40 THEN {LINKS} END AS links FROM parts
-WHERE p_partkey IN (SELECT l_partkey FROM lineitem)
+WITH {sql.TAGS}
+SELECT DISTINCT uri, CASE WHEN length(word) <= 10 THEN {LINKS} END AS links FROM tags
 """)
 def _resource_lookup(spark, sf):
-    uri = F.concat(F.lit(inputs.URI), F.col("l_partkey").cast("string"))
-    uris = inputs.table(spark, sf, "lineitem").select(uri.alias("uri"))
+    uris = inputs.tag_uris(spark, sf).select(F.explode("uris").alias("uri"))
     found = annotate.find_resources(uris, inputs.page_links(spark, sf))
     return found.select("uri", _links("in_links").alias("links"))
 
 
 @query("enrich_resources", f"""
-WITH {sql.PART_RESOURCES},
-used AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS p_partkey FROM lineitem),
+WITH {sql.TAGS},
 found AS (SELECT id, string_agg(uri || '=' || {LINKS}, ' ' ORDER BY uri) AS resources
-          FROM used JOIN parts USING (p_partkey) WHERE p_size <= 40 GROUP BY id)
-SELECT u.id, coalesce(resources, '') AS resources FROM (SELECT DISTINCT id FROM used) u LEFT JOIN found USING (id)
+          FROM tags WHERE length(word) <= 10 GROUP BY id)
+SELECT doc_id AS id, coalesce(resources, '') AS resources FROM documents LEFT JOIN found ON id = doc_id
 """)
 def _enrich_resources(spark, sf):
-    rows = annotate.attach_resources(inputs.order_uris(spark, sf), inputs.page_links(spark, sf))
+    rows = annotate.attach_resources(inputs.tag_uris(spark, sf), inputs.page_links(spark, sf))
     shown = F.transform("resources", lambda r: F.concat(r["uri"], F.lit("="), _links(r["in_links"])))
     return rows.select("id", F.array_join(shown, " ").alias("resources"))
 
@@ -194,10 +191,10 @@ def _resource_similarity(spark, sf):
 
 
 SETS = f"""
-WITH {sql.PART_RESOURCES},
-lines AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS p_partkey, l_returnflag = 'R' AS back FROM lineitem),
-members AS (SELECT id, back, uri, in_links FROM lines JOIN parts USING (p_partkey)),
-sizes AS (SELECT id, count(*) FILTER (back) AS n, count(*) FILTER (NOT back) AS m FROM members GROUP BY id),
+WITH {sql.TAGS},
+members AS (SELECT id, length(word) <= 9 AS back, uri, in_links FROM tags),
+sizes AS (SELECT doc_id AS id, count(uri) FILTER (back) AS n, count(uri) FILTER (NOT back) AS m
+          FROM documents LEFT JOIN members ON id = doc_id GROUP BY doc_id),
 pairs AS (SELECT a.id, a.uri AS a, b.uri AS b, len(list_intersect(a.in_links, b.in_links))
   / len(list_distinct(list_concat(a.in_links, b.in_links))) AS sim
   FROM members a JOIN members b ON a.id = b.id AND a.back AND NOT b.back),
@@ -212,13 +209,13 @@ sims AS (SELECT id, n, m, CASE WHEN n < m THEN f.mean WHEN n > m THEN b.mean ELS
 """)
 def _set_similarity(spark, sf):
     sim = S.set_similarity(F.col("left"), F.col("right"), S.shared_links)
-    return inputs.order_sets(spark, sf).select("id", F.round(sim, 6).alias("similarity"))
+    return inputs.tag_sets(spark, sf).select("id", F.round(sim, 6).alias("similarity"))
 
 
 @query("set_similarity_max", f"{SETS} SELECT id, round(coalesce(top, 0), 6) AS similarity FROM sims")
 def _set_similarity_max(spark, sf):
     sim = S.set_similarity_max(F.col("left"), F.col("right"), S.shared_links)
-    return inputs.order_sets(spark, sf).select("id", F.round(sim, 6).alias("similarity"))
+    return inputs.tag_sets(spark, sf).select("id", F.round(sim, 6).alias("similarity"))
 
 
 @query("semantic_similarity", f"""
@@ -226,7 +223,7 @@ def _set_similarity_max(spark, sf):
 """)
 def _semantic_similarity(spark, sf):
     left, right = F.col("left"), F.col("right")
-    return inputs.order_sets(spark, sf).select(
+    return inputs.tag_sets(spark, sf).select(
         "id",
         F.round(S.semantic_similarity(left, right, S.shared_links), 6).alias("by_links"),
         S.semantic_similarity(left, right).alias("by_default"),

@@ -181,32 +181,31 @@ def part_resources(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def page_links(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages of all but the largest parts; links repeat."""
-    rows = part_resources(spark, sf).filter("p_size <= 40")
-    return rows.select("uri", F.concat("in_links", "in_links").alias("in_links"))
-
+def tag_resource(word: Column) -> Column:
+    """A hashtag as a knowledge-base page, linked from the pieces of its first letters."""
+    pieces = F.array(*[F.substring(word, i, 2) for i in (1, 3, 5)])
+    return F.struct(F.concat(F.lit(URI), word).alias("uri"), pieces.alias("in_links"))
 
-def order_uris(spark: SparkSession, sf: str) -> DataFrame:
-    """``(id, uris)``: the parts of every order, with repeats."""
-    uri = F.concat(F.lit(URI), F.col("l_partkey").cast("string"))
-    return table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(uri).alias("uris"))
 
-
-def order_sets(spark: SparkSession, sf: str) -> DataFrame:
-    """``(id, left, right)``: per order the parts that were and were not returned, as resources."""
-    lines = table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("p_partkey"),
-        (F.col("l_returnflag") == "R").alias("back"),
-    )
-    rows = lines.distinct().join(part_resources(spark, sf), "p_partkey")
-    resource = F.struct("uri", "in_links")
-    return rows.groupBy("id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("back"), resource))).alias("left"),
-        F.array_sort(F.collect_list(F.when(~F.col("back"), resource))).alias("right"),
+def page_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of all hashtags but the longest; links repeat."""
+    words = texts(spark, sf).select(F.explode(hashtags(F.col("text"))).alias("word")).distinct()
+    page = tag_resource(F.col("word"))
+    rows = words.filter(F.length("word") <= 10).select(page.alias("page"))
+    return rows.select("page.uri", F.concat("page.in_links", "page.in_links").alias("in_links"))
+
+
+def tag_uris(spark: SparkSession, sf: str) -> DataFrame:
+    """``(id, uris)``: the pages a document's hashtags name, with repeats."""
+    uris = F.transform(hashtags(F.col("text")), lambda w: F.concat(F.lit(URI), w))
+    return texts(spark, sf).select("id", uris.alias("uris"))
+
+
+def tag_sets(spark: SparkSession, sf: str) -> DataFrame:
+    """``(id, left, right)``: a document's shorter and longer hashtags as resources."""
+    words = F.array_distinct(hashtags(F.col("text")))
+    short = F.filter(words, lambda w: F.length(w) <= 9)
+    long = F.filter(words, lambda w: F.length(w) > 9)
+    return texts(spark, sf).select(
+        "id", F.transform(short, tag_resource).alias("left"), F.transform(long, tag_resource).alias("right")
     )
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """A derived input as a written table, like the ones the library reads in use."""
-    return cut(df, "input")

@@ -216,3 +216,8 @@ annotations AS (SELECT * FROM entities e WHERE score > 0.8 AND second_rank <= 0.
 PART_RESOURCES = f"""
 parts AS (SELECT p_partkey, p_size, '{URI}' || CAST(p_partkey AS VARCHAR) AS uri,
           list_concat(string_split(p_name, ' '), [p_brand]) AS in_links FROM part)"""
+
+TAGS = f"""
+tag_words AS (SELECT doc_id AS id, unnest(list_distinct({HASHTAGS})) AS word FROM documents),
+tags AS (SELECT id, word, '{URI}' || word AS uri,
+         [substr(word, 1, 2), substr(word, 3, 2), substr(word, 5, 2)] AS in_links FROM tag_words)"""
