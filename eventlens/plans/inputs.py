@@ -175,7 +175,7 @@ def gazetteer(spark: SparkSession, sf: str) -> DataFrame:
 def part_resources(spark: SparkSession, sf: str) -> DataFrame:
     """Parts as knowledge-base pages, linked from the words of their names and their brand."""
     return table(spark, sf, "part").select(
-        "p_partkey", "p_size",
+        "p_partkey",
         F.concat(F.lit(URI), F.col("p_partkey").cast("string")).alias("uri"),
         F.concat(F.split("p_name", " "), F.array("p_brand")).alias("in_links"),
     )
@@ -209,3 +209,8 @@ def tag_sets(spark: SparkSession, sf: str) -> DataFrame:
     return texts(spark, sf).select(
         "id", F.transform(short, tag_resource).alias("left"), F.transform(long, tag_resource).alias("right")
     )
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """A derived input as a written table, like the ones the library reads in use."""
+    return cut(df, "input")
