@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, packing, spans, toxicity
+from . import (
+    chat, fingerprints, importance, jaccard, licences, mixing, neighbours, packing, spans, toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +34,81 @@ def vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+#: Fields of the tools that conversations are turned into calls of.
+TOOL_FIELDS = [
+    ("search", "limit", "integer", True, 1.0, 50.0),
+    ("search", "query", "string", True, 1.0, 40.0),
+    ("summarise", "percent", "integer", True, 1.0, 100.0),
+    ("summarise", "text", "string", True, 1.0, 800.0),
+    ("translate", "text", "string", True, 1.0, None),
+    ("translate", "to", "string", False, 2.0, 2.0),
+]
+
+
+@query
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as tool calls: a user's turn is a call that depends on the user's turn before,
+    the turn of the assistant after it is its result."""
+    turns = table(spark, sf_dir, "conversations")
+    n = F.length("text")
+    head = F.substring("text", 1, 40)
+
+    def name(turn) -> F.Column:
+        return F.concat(F.lit("call-"), F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string"))
+
+    def quoted(col) -> F.Column:
+        return F.to_json(F.to_variant_object(F.struct(col.alias("x"))))
+
+    tool = F.when(n % 3 == 0, "search").when(n % 3 == 1, "translate").when(n % 3 == 2, "summarise")
+    # the keys come in no order and with blanks, as models write them
+    arguments = (
+        F.when(n % 3 == 0, F.concat(F.lit('{"query": '), F.substring(quoted(head), 6, 400)))
+        .when(n % 3 == 1, F.concat(F.lit('{ "to":"de", "text" : '), F.expr("substring(to_json(to_variant_object(struct(text AS x))), 6)")))
+        .otherwise(F.concat(F.lit('{"text": '), F.expr("substring(to_json(to_variant_object(struct(text AS x))), 6)")))
+    )
+    tail = F.when(n % 3 == 0, F.concat(F.lit(', "limit": '), (n % 60).cast("string"), F.lit(" }"))).when(
+        n % 3 == 2, F.concat(F.lit(', "percent":'), (n % 120).cast("string"), F.lit("}"))
+    )
+    whole = F.when(tail.isNull(), arguments).otherwise(F.concat(F.expr("substring(a, 1, length(a) - 1)"), tail))
+    calls = turns.filter("role = 'user'").withColumn("a", arguments).select(
+        "conv_id", "turn", name(F.col("turn")).alias("call_id"), tool.alias("tool"), whole.alias("arguments"),
+        F.array(name(F.col("turn") - 2)).alias("depends_on"),
+    )
+    results = turns.filter("role = 'assistant'").select("conv_id", "turn", name(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+    schemas = spark.createDataFrame(TOOL_FIELDS, "tool string, field string, type string, required boolean, least double, most double")
+    return chat.link(calls, results, schemas).withColumn("errors", F.concat_ws("; ", "errors"))
+
+
+ORACLES["op1_chat"] = """
+WITH RECURSIVE turns AS (
+    SELECT conv_id, turn, role, text, length(text) AS n, 'call-' || conv_id || '-' || turn AS own FROM conversations),
+calls AS (SELECT * FROM turns WHERE role = 'user'),
+results AS (SELECT conv_id, turn, text, 'call-' || conv_id || '-' || (turn - 1) AS call_id FROM turns WHERE role = 'assistant'),
+depth AS (
+    SELECT conv_id, turn, own, 0 AS level FROM calls c
+    WHERE NOT EXISTS (SELECT 1 FROM calls p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 2)
+    UNION ALL
+    SELECT c.conv_id, c.turn, c.own, d.level + 1 FROM depth d JOIN calls c ON c.conv_id = d.conv_id AND c.turn = d.turn + 2)
+SELECT c.conv_id, c.own AS call_id, c.turn,
+    CASE n % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'translate' ELSE 'summarise' END AS tool, d.level,
+    CASE WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+    CASE WHEN r.call_id IS NULL THEN 0 ELSE 1 END AS n_results,
+    concat_ws('; ',
+        CASE WHEN n % 3 = 0 AND n % 60 NOT BETWEEN 1 AND 50 THEN 'limit: range' END,
+        CASE WHEN n % 3 = 2 AND n % 120 NOT BETWEEN 1 AND 100 THEN 'percent: range' END,
+        CASE WHEN n % 3 = 0 AND n = 0 THEN 'query: length' END,
+        CASE WHEN n % 3 = 2 AND n > 800 THEN 'text: length' END) AS errors,
+    CASE n % 3 WHEN 0 THEN json_object('limit', n % 60, 'query', substring(c.text, 1, 40))
+        WHEN 1 THEN json_object('text', c.text, 'to', 'de')
+        ELSE json_object('percent', n % 120, 'text', c.text) END::VARCHAR AS arguments,
+    CASE WHEN r.call_id IS NOT NULL THEN json_object('text', r.text)::VARCHAR END AS result
+FROM calls c JOIN depth d ON d.own = c.own LEFT JOIN results r ON r.call_id = c.own
+UNION ALL
+SELECT r.conv_id, r.call_id, r.turn, NULL, NULL, 'orphan', 1, '', NULL, json_object('text', r.text)::VARCHAR
+FROM results r WHERE r.call_id NOT IN (SELECT own FROM calls)
+"""
+
+
 @query
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -63,6 +140,30 @@ def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+#: Rows of good text that the target model is fitted on, at most; and the share of rows drawn.
+TARGET_ROWS, DRAWN = 20_000, 0.8
+
+
+@query
+def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn by likeness to those labelled good; a row that is here is drawn."""
+    good = table(spark, sf_dir, "labels").filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("id")).distinct()
+    target = good.orderBy(F.xxhash64("id"), "id").limit(TARGET_ROWS)
+    drawn = importance.resample(table(spark, sf_dir, "documents"), target, DRAWN)
+    return drawn.select(F.col("id").alias("doc_id"), "log_weight", "key")
+
+
+@query
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", licences.licences("text").alias("found")).select("doc_id", "found.*")
+
+
 @query
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary())
@@ -77,3 +178,12 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")
     )
+
+
+@query
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.with_next(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_chars", "edited_sha256", F.lower(F.hex("fingerprint")).alias("fingerprint"),
+        F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next",
+    )

@@ -8,6 +8,7 @@ run of words is a polynomial over the mixed hashes of its words, mixed again.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 
@@ -28,18 +29,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-def _byte_table() -> tuple[np.ndarray, np.ndarray]:
+#: Bytes between words.
+BLANKS = frozenset([0x20, *range(0x09, 0x0E)])
+#: Bytes between words that are runs of ASCII letters, digits and anything beyond ASCII.
+SIGNS = frozenset([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
+
+
+@cache
+def _byte_table(gaps: frozenset[int]) -> tuple[np.ndarray, np.ndarray]:
     numbers = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
     numbers[ord("A") : ord("Z") + 1] = numbers[ord("a") : ord("z") + 1]
     gap = np.zeros(256, bool)
-    gap[[0x20, *range(0x09, 0x0E)]] = True
+    gap[list(gaps)] = True
     numbers[gap] = 0
     return numbers, gap
 
 
-_NUMBERS, _GAP = _byte_table()
-
-
 def chunks(texts: Iterable[str | None], limit: int = CHUNK_BYTES) -> Iterator[list[bytes]]:
     """The texts as bytes, in lists of some ``limit`` bytes; null is empty."""
     part, size = [], 0
@@ -54,10 +59,11 @@ def chunks(texts: Iterable[str | None], limit: int = CHUNK_BYTES) -> Iterator[li
         yield part
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], gaps: frozenset[int] = BLANKS) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all words, text after text, and the number of words of each text."""
+    numbers, is_gap = _byte_table(gaps)
     data = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
-    gap = _GAP[data]
+    gap = is_gap[data]
     starts = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1
     sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     ends = np.cumsum(sizes) + 1  # where the next text begins
@@ -72,7 +78,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     powers[0] = 1
     powers = np.cumprod(powers, dtype=np.uint64)
     place[gap] = 0  # a gap counts 0 whatever its weight
-    sums = np.add.reduceat(_NUMBERS[data] * powers[place], starts)
+    sums = np.add.reduceat(numbers[data] * powers[place], starts)
     return mix(sums), counts
 
 
