@@ -36,6 +36,11 @@ def canonical_json(text: Column) -> Column:
     return F.to_json(F.try_parse_json(text))
 
 
+def _content(text: Column) -> Column:
+    """A result as canonical JSON; what is not JSON becomes an object with the field ``text``."""
+    return F.coalesce(canonical_json(text), F.to_json(F.to_variant_object(F.struct(text.alias("text")))))
+
+
 def fields_by_tool(schemas: DataFrame) -> DataFrame:
     """One row per tool with its fields; of a field listed twice the smallest row counts."""
     rows = schemas.filter("tool IS NOT NULL AND field IS NOT NULL").groupBy("tool", "field").agg(
@@ -135,12 +140,12 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     checked = every.withColumn("parsed", parsed).join(tools, "tool", "left").select(
         "conv_id", "call_id", "turn", "tool", "level", "status", F.coalesce("n_results", F.lit(0)).alias("n_results"),
         errors("parsed", "fields").alias("errors"), F.to_json("parsed").alias("arguments"),
-        F.coalesce(canonical_json(F.col("r.content")), F.to_json(F.to_variant_object(F.struct(F.col("r.content").alias("text"))))).alias("result"),
+        F.when(F.col("r").isNotNull(), _content(F.col("r.content"))).alias("result"),
     )
     orphans = results.join(first.select("call_id"), "call_id", "left_anti").select(
         "conv_id", "call_id", "turn", F.lit(None).cast("string").alias("tool"), F.lit(None).cast("int").alias("level"),
         F.lit("orphan").alias("status"), F.lit(1).cast("long").alias("n_results"), F.array().cast("array<string>").alias("errors"),
         F.lit(None).cast("string").alias("arguments"),
-        F.coalesce(canonical_json(F.col("content")), F.to_json(F.to_variant_object(F.struct(F.col("content").alias("text"))))).alias("result"),
+        _content(F.col("content")).alias("result"),
     )
     return checked.unionByName(orphans)
