@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import functools
-import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..skew import skew_join
 from . import words as W
 
 # Unicode words: runs of letters, marks, digits and underscores; two runs are one word when a
@@ -137,28 +135,25 @@ def token_offsets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def normalize_words(df: DataFrame, id_col: str, text_col: str, dictionary: DataFrame) -> DataFrame:
     """``(id, text, normalized)``: every blank-separated word that is a ``token`` of the
-    dictionary is replaced. Case counts.
+    dictionary is replaced. Case counts. A null text stays, with null.
 
-    The dictionary is joined, so it may be of any size; a very frequent word is split over tasks.
+    The dictionary is joined with the distinct words of each text, so it may be of any size; only
+    words it has go on. Their replacements are gathered per text, by a hash of the text rather
+    than by its id, and put in within the row.
     """
-    words = df.select(
-        F.col(id_col).alias("id"), F.posexplode(F.split(text_col, " ", -1)).alias("pos", "token")
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    words = texts.select(
+        F.xxhash64("text").alias("mark"), F.length("text").alias("size"),
+        F.explode(F.array_distinct(F.split("text", " ", -1))).alias("token"),
+    )
+    rules = dictionary.filter("token IS NOT NULL AND replacement IS NOT NULL").groupBy("token").agg(F.max("replacement").alias("replacement"))
+    hits = words.join(rules, "token").groupBy("mark", "size").agg(
+        F.map_from_entries(F.array_distinct(F.collect_list(F.struct("token", "replacement")))).alias("rules")
     )
-    fixed = skew_join(words, dictionary.select("token", "replacement"), ["token"], "left")
-    texts = fixed.groupBy("id").agg(
-        F.array_join(
-            F.transform(
-                F.array_sort(
-                    F.collect_list(
-                        F.struct("pos", F.coalesce("replacement", "token").alias("word"))
-                    )
-                ),
-                lambda w: w["word"],
-            ),
-            " ",
-        ).alias("normalized")
-    )
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(texts, "id")
+    replaced = F.transform(F.split("text", " ", -1), lambda w: F.coalesce(F.element_at("rules", w), w))
+    same = (F.xxhash64("text") == hits["mark"]) & (F.length("text") == hits["size"])
+    normalized = F.when(F.col("rules").isNull(), F.col("text")).otherwise(F.array_join(replaced, " "))
+    return texts.join(hits, same, "left").select("id", "text", normalized.alias("normalized"))
 
 
 def elongations(text: Column) -> Column:
@@ -206,7 +201,7 @@ def lemma_tags(tagged: Column, split_parts: bool = False, flash_mob: bool = True
             )
         )
         # the library list is matched as it stands, the custom one in any case
-        library, custom = W.LIBRARY_STOP_WORDS, W.custom_stop_words()
+        library, custom = W.LIBRARY_STOP_WORDS, W.CUSTOM_STOP_WORDS
         if flash_mob:
             custom = custom + W.FLASH_MOB_WORDS
         return F.filter(
@@ -249,9 +244,10 @@ def emoticons(text: Column) -> Column:
 
 @F.pandas_udf(T.StringType())
 def _decompose(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFD", t))
+    return text.str.normalize("NFD")
 
 
 def remove_accents(text: Column) -> Column:
     """Decompose (in Arrow batches: Spark has no NFD function) and drop the combining marks."""
-    return F.regexp_replace(_decompose(text), "[\u0300-\u036f]+", "")
+    beyond = F.when(text.rlike("[^\\x00-\\x7F]"), text)  # ASCII texts stay in the JVM's hands
+    return F.coalesce(F.regexp_replace(_decompose(beyond), "[\u0300-\u036f]+", ""), text)

@@ -8,54 +8,34 @@ a an and are as at be but by for if in into is it no not of on or such that the
 these they this to was will with
 """.split()
 
-# Site words, symbols and function words removed from short posts. "ours " with a
-# blank at its end is part of the list, so the word "ours" stays.
-SITE_WORDS = """
-retweet tweet twitter ? rt please rt. favorite from video (>_<) flash-mob >_< youtube via vía vìa à
-""".split()
-SYMBOLS = """
-+ % [ ] | ‘ ’ ♥ !! ?! ?? !? , ` `` '' -lrb- -rrb- -lsb- -rsb- . : ; " ' ? < > { } - ( ) & $ @ ! ^
-# * .. ... 'll 's 'm ###
-""".split()
-FUNCTION_WORDS = """
-a about above after again all am an and any are as at be because been before being below between
-both but by can cannot could did do does doing down during each few for from further had has have
-having he her here hers herself him himself his how i if in into is it its itself me more most my
-myself no nor not of off on once only or other ought our ourselves out over own same she should so
-some such than that the their theirs them themselves then there these they this those through to
-too under until up very was we were what when where which while who whom why with would you your
-yours yourself yourselves return
+# The custom list of symbols and words removed from short posts. "ours " with a blank at
+# its end is part of the list, so the word "ours" stays.
+CUSTOM_STOP_WORDS = """
+? (>_<) >_< à + % [ ] | ‘ ’ ♥ !! ?! ?? !? , ` `` '' -lrb- -rrb- -lsb- -rsb- . : ; " ' < > { } - (
+) & $ @ ! ^ # * .. ... 'll 's 'm ###
+a about above after again all am an and any are arent as at be because been before being below
+between both but by can can't cannot cant could couldn't couldnt did didn't didnt do does doesn't
+doesnt doing don't dont down during each favorite few flash-mob for from further had hadn't hadnt
+has hasn't hasnt have haven't havent having he he'd he'll he's her here here's heres hers herself
+hes him himself his how how's hows i i'd i'll i'm i've if im in into is isn't isnt it it's its
+itself let's lets me more most mustnt my myself no nor not of off on once only or other ought our
+ourselves out over own please return retweet rt rt. same shan't shant she she'd she'll she's shes
+should shouldn't shouldnt so some such than that that's thats the their theirs them themselves
+then there there's theres these they they'd they'll they're they've theyll theyre theyve this
+those through to too tweet twitter under until up very via video vìa vía was wasn't wasnt we we'd
+we'll we're we've were weren't werent what what's whats when when's whens where where's wheres
+which while who who's whom whos why why's whys with won't wont would wouldn't wouldnt you you'd
+you'll you're you've youd youll your youre yours yourself yourselves youtube youve
 """.split() + ["ours "]
 
-# Stems that take "n't", and the other contractions.
-NEGATED_STEMS = "ca could did does do had has have is sha should was were wo would".split()
-SHORT_FORMS = """
-he'd he'll he's here's how's i'd i'll i'm i've it's let's she'd she'll she's that's there's they'd
-they'll they're they've we'd we'll we're we've what's when's where's who's why's you'd you'll
-you're you've
-""".split()
-# Contractions that are only listed without their apostrophe, and those that are
-# never listed without it (mostly because they would read as another word).
-ONLY_STRIPPED = ["aren't", "mustn't"]
-NEVER_STRIPPED = "he'd he'll i'd i'll i've she'd she'll they'd we'd we'll we've".split()
-
 # Words added by the second list, which is about one kind of event.
 FLASH_MOB_WORDS = "flash mob flashmob flashmobs".split()
 
 
-def custom_stop_words() -> list[str]:
-    """The custom list: contractions appear with and without their apostrophe."""
-    contractions = [stem + "n't" for stem in NEGATED_STEMS] + SHORT_FORMS
-    stripped = [
-        w.replace("'", "") for w in contractions + ONLY_STRIPPED if w not in NEVER_STRIPPED
-    ]
-    return list(dict.fromkeys(SITE_WORDS + SYMBOLS + FUNCTION_WORDS + contractions + stripped))
-
-
 def stop_words(flash_mob: bool = False) -> list[str]:
     """Both stop lists in one; ``flash_mob`` picks the longer custom list."""
     extra = FLASH_MOB_WORDS if flash_mob else []
-    return list(dict.fromkeys(LIBRARY_STOP_WORDS + custom_stop_words() + extra))
+    return list(dict.fromkeys(LIBRARY_STOP_WORDS + CUSTOM_STOP_WORDS + extra))
 
 
 # Word characters and the characters that may join two of them inside one token.

@@ -105,7 +105,7 @@ def event_clusters(
             other = head_rows.drop("tokens").withColumnRenamed("lsh_tokens", "tokens")
             other = other.filter(F.size("tokens") >= V.MIN_TOKENS)
             other_tf = cut(V.term_freq(other, "copies"), "lsh-tf")
-            hashed = V.profiles(V.tfidf(other_tf, copies="copies", heavy_rows=heavy_rows))
+            hashed = cut(V.profiles(V.tfidf(other_tf, copies="copies", heavy_rows=heavy_rows)), "lsh-profiles")
         sigs = cut(lsh.profile_signatures(spread(hashed), rows, bands, seed), "signatures")
         tables = lsh.hash_tables(sigs)
         cells = cells.join(sigs.select("id"), "id")

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import cut
 
 SMOOTHING = 0.5
-SERIES_PARTS = 64
 
 
 def moving_average(
@@ -18,24 +20,49 @@ def moving_average(
 ) -> DataFrame:
     """``(key, ema)``: ``s_1 = x_1``, ``s_t = a x_t + (1 - a) s_{t-1}``, at the end of each series.
 
-    Written out, the value ``r`` places from the end weighs ``a (1 - a)^r``, and the first one
-    ``(1 - a)^(n - 1)``. Once a weight is 0 in double precision, all earlier values add exactly
-    0, so only the last ones of a series matter. They are first sought in parts of every series,
-    so that a long one never meets in one task, and then among what the parts have left.
+    Rows are sorted by ranges of series and order, so a long series is spread over tasks. Each task
+    folds its part of a series as it streams by: once as the beginning (``begun``), and once on top
+    of nothing (``added``). A part of ``n`` values turns the ``s`` before it into
+    ``(1 - a)^n s + added``; a series has at most one part per task, and they are put together in
+    order. Null values are left out; NaN and infinity go through as in the recursion.
     """
     decay = 1.0 - smoothing
-    reach = 2 if decay == 0 else math.ceil(1100 * math.log(2) / -math.log(decay)) + 1
-    latest = [F.desc(c) for c in order]
-    rows = df.select(key, *order, F.col(value).cast("double").alias("x"))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64(*order), F.lit(SERIES_PARTS)))
-    own = Window.partitionBy(key, "part").orderBy(*latest)
-    rows = rows.withColumn("r", F.row_number().over(own)).filter(F.col("r") <= reach)
-    whole = Window.partitionBy(key).orderBy(*latest)
-    tail = rows.withColumn("r", F.row_number().over(whole)).filter(F.col("r") <= reach)
-    weighed = F.col("x") * F.pow(F.lit(decay), F.col("r") - 1)
-    # the first value has no predecessor, so it also takes the weight its predecessors would have
-    first_extra = F.max_by(weighed, "r") * decay
-    return tail.groupBy(key).agg((F.sum(weighed) * smoothing + first_extra).alias("ema"))
+    rows = df.select(F.col(key).alias("key"), *order, F.col(value).cast("double").alias("x")).filter("x IS NOT NULL")
+    n = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = rows.repartitionByRange(n, "key", *order).sortWithinPartitions("key", *order).select("key", "x")
+    kind = df.schema[key].dataType
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        schema = pa.schema([("key", to_arrow_type(kind)), ("part", pa.int32()), ("n", pa.int64()), ("begun", pa.float64()), ("added", pa.float64())])
+        series, count, begun, added = None, 0, 0.0, 0.0
+        for batch in batches:
+            done = []
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if count and k == series:
+                    count, begun, added = count + 1, smoothing * x + decay * begun, smoothing * x + decay * added
+                    continue
+                if count:
+                    done.append((series, part, count, begun, added))
+                series, count, begun, added = k, 1, x, smoothing * x
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, d, strict=True)) for d in done], schema=schema)
+        if count:
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, (series, part, count, begun, added), strict=True))], schema=schema)
+
+    parts = ranged.mapInArrow(fold, f"key {kind.simpleString()}, part int, n long, begun double, added double")
+    ordered = F.array_sort(F.collect_list(F.struct("part", "n", "begun", "added")))
+
+    def shrunk(s: Column, n: Column) -> Column:
+        # in three steps, so that no power is 0 before the product is
+        third = F.floor(n / 3)
+        steps = [F.pow(F.lit(decay), third), F.pow(F.lit(decay), third), F.pow(F.lit(decay), n - 2 * third)]
+        return F.when(F.abs(s) == F.lit(float("inf")), s).otherwise(s * steps[0] * steps[1] * steps[2])
+
+    first = F.element_at("parts", 1)
+    ema = F.aggregate(
+        F.slice("parts", 2, F.size("parts")), first["begun"], lambda s, p: p["added"] + shrunk(s, p["n"])
+    )
+    return parts.groupBy("key").agg(ordered.alias("parts")).select(F.col("key").alias(key), ema.alias("ema"))
 
 
 def series_mean(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -82,7 +82,7 @@ FROM documents LEFT JOIN found ON doc_id = id
 """)
 def _annotate_collection(spark, sf):
     path = new_path(spark, "annotations")
-    written = store.insert_annotations(_annotated(spark, sf), path)
+    written = store.insert_annotations(_annotated(spark, sf).withColumn("seq", F.col("id")), path, "seq")
     rows = spark.read.parquet(path)
     n = F.when(F.col("annotations").isNotNull(), F.size("annotations").cast("bigint"))
     return rows.select("id", n.alias("n"), F.lit(written).cast("bigint").alias("written"))
@@ -100,7 +100,7 @@ def _annotation_upsert(spark, sf):
     all_rows = inputs.stored(_annotated(spark, sf).join(langs, "id"))
     path = new_path(spark, "annotations")
     first = all_rows.filter("lang = 'fr'").select("id", "annotations", F.lit("first").alias("origin"))
-    store.insert_annotations(first, path)
+    store.insert_annotations(first.withColumn("seq", F.col("origin")), path, "seq")
     versions = F.explode(F.array(F.lit("again"), F.lit("later"))).alias("origin")
     batch = all_rows.filter("lang IN ('fr', 'en')").select("id", "annotations", versions)
     store.insert_annotations(batch.withColumn("seq", F.col("origin")), path, "seq")

@@ -35,16 +35,29 @@ def work_dir(spark: SparkSession) -> str:
     )
     if folder:
         return folder.rstrip("/")
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="eventlens-")
     context.setCheckpointDir(folder)
     return context.getCheckpointDir().rstrip("/")
 
 
+def steps_dir(spark: SparkSession) -> str:
+    """The folder of all steps that this application writes."""
+    return f"{work_dir(spark)}/eventlens/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{work_dir(spark)}/eventlens/{uuid.uuid4().hex}/{name}"
+    return f"{steps_dir(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def remove_steps(spark: SparkSession) -> None:
+    """Remove what ``cut`` has written in this application. Results still read from there: call it
+    once they are written elsewhere, before the session stops."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(steps_dir(spark))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
@@ -64,7 +77,8 @@ def measured_cut(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores where a few small files would keep most of them idle. With as many files as
-    cores, which is always so on large data, nothing is moved."""
+    """Use all cores where a few small partitions would keep most of them idle. With as many
+    partitions as cores, which is always so on large data, nothing is moved. ``df`` should be read
+    from a source or a stored table: its partitions are known without running anything."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

@@ -84,7 +84,9 @@ def group_pairs(
     higher (with ``others``: or one lower); such pairs have any order of ids.
 
     A group above ``heavy_rows`` is laid out as a square of parts, one join key per square, so
-    its pairs spread over many tasks instead of one.
+    its pairs spread over many tasks instead of one. The limit does not grow with the data, as a
+    part's pairs are its square; so there may be many such groups, and their table is broadcast only
+    while their number is bounded.
     """
     right = rows if others is None else others
     total = rows.count() if others is None else rows.count() + others.count()
@@ -109,7 +111,10 @@ def group_pairs(
     if total <= heavy_rows:
         return side(left, "a", "_same").join(side(right, "b"), keys).filter(wanted).drop("_same")
     sized = left.select(*keys) if others is None else left.select(*keys).unionByName(right.select(*keys))
-    heavy = F.broadcast(heavy_keys(sized, keys, heavy_limit(total, heavy_rows)))
+    heavy = heavy_keys(sized, keys, heavy_rows)
+    rows_sized = total if step is None else total * len(offsets)
+    if rows_sized // heavy_rows <= MAX_HEAVY_KEYS:  # so many keys at most have more rows
+        heavy = F.broadcast(heavy)
     left = left.join(heavy, keys, "left").withColumn("_i", part_of(id_col)).withColumn("_j", all_parts())
     right = right.join(heavy, keys, "left").withColumn("_j", part_of(id_col)).withColumn("_i", all_parts())
     return (

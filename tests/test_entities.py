@@ -78,7 +78,7 @@ def test_documents(spark):
 def test_first_write_wins(spark):
     path = new_path(spark, "annotations")
     first = spark.createDataFrame([(1, [("a", 0, "What", "u")]), (2, [])], ANNOTATED)
-    assert store.insert_annotations(first, path) == 2
+    assert store.insert_annotations(first.withColumn("seq", F.lit(0)), path, "seq") == 2
     second = spark.createDataFrame([(1, []), (3, []), (3, [("late", 0, "What", "u")])], ANNOTATED)
     second = second.withColumn("seq", F.size("annotations"))
     assert store.insert_annotations(second, path, "seq") == 1

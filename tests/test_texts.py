@@ -52,7 +52,7 @@ def test_tokenize(spark):
 
 
 def test_stop_lists():
-    custom = W.custom_stop_words()
+    custom = W.CUSTOM_STOP_WORDS
     assert "ours " in custom and "ours" not in custom
     assert {"can't", "cant", "arent", "youre", "rt"} <= set(custom)
     assert not {"aren't", "hed", "well", "flash"} & set(custom)
