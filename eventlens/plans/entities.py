@@ -28,7 +28,7 @@ def _annotations_parse(spark, sf):
 
 @query("annotation_uris", f"""
 {ANNOTATED}, found AS (SELECT id, string_agg(uri, ' ' ORDER BY start) AS uris FROM annotations GROUP BY id)
-SELECT doc_id AS id, CASE WHEN lang <> 'es' THEN coalesce(uris, '') END AS uris
+SELECT doc_id AS id, coalesce(uris, '') AS uris
 FROM documents LEFT JOIN found ON doc_id = id
 """)
 def _annotation_uris(spark, sf):
@@ -77,7 +77,7 @@ def _annotation_roundtrip(spark, sf):
 
 @query("annotate_collection", f"""
 {ANNOTATED}, found AS (SELECT id, count(*) AS n FROM annotations GROUP BY id)
-SELECT doc_id AS id, CASE WHEN lang <> 'es' THEN coalesce(n, 0) END AS n, (SELECT count(*) FROM documents) AS written
+SELECT doc_id AS id, coalesce(n, 0) AS n, (SELECT count(*) FROM documents) AS written
 FROM documents LEFT JOIN found ON doc_id = id
 """)
 def _annotate_collection(spark, sf):
@@ -109,7 +109,7 @@ def _annotation_upsert(spark, sf):
 
 @query("annotation_lookup", f"""
 {ANNOTATED}, found AS (SELECT id, count(*) AS n FROM annotations GROUP BY id)
-SELECT event_id AS id, doc_id IS NOT NULL AS known, CASE WHEN lang <> 'es' THEN coalesce(n, 0) END AS n
+SELECT event_id AS id, doc_id IS NOT NULL AS known, CASE WHEN doc_id IS NOT NULL THEN coalesce(n, 0) END AS n
 FROM events LEFT JOIN documents ON doc_id = event_id LEFT JOIN found ON found.id = event_id
 """)
 def _annotation_lookup(spark, sf):
@@ -123,8 +123,7 @@ NAMES = f"""
 benchmark_words AS (SELECT {sql.kept_words('lower(text)')} AS w FROM benchmark),
 names AS (SELECT DISTINCT surface FROM (
   SELECT unnest(w) AS surface FROM benchmark_words UNION ALL
-  SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM benchmark_words)
-  WHERE length(surface) >= 4),
+  SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM benchmark_words)),
 gazetteer AS (SELECT surface, '{inputs.URI}' || replace(surface, ' ', '_') AS uri, {sql.kind_of('length(surface)')} AS kind
   FROM names WHERE length(surface) % 3 <> 0 AND length(surface) % 4 <> 2 AND upper(surface) NOT IN
   ('SURPRISE', 'YOUTUBE', 'VIMEO', 'TWITTER', 'DAY', 'THURSDAY', 'OURSELVES'))"""
@@ -153,7 +152,7 @@ def _links(col):
 
 @query("resource_lookup", f"""
 WITH {sql.TAGS}
-SELECT DISTINCT uri, CASE WHEN length(word) <= 10 THEN {LINKS} END AS links FROM tags
+SELECT DISTINCT uri, {LINKS} AS links FROM tags
 """)
 def _resource_lookup(spark, sf):
     uris = inputs.tag_uris(spark, sf).select(F.explode("uris").alias("uri"))
@@ -164,7 +163,7 @@ def _resource_lookup(spark, sf):
 @query("enrich_resources", f"""
 WITH {sql.TAGS},
 found AS (SELECT id, string_agg(uri || '=' || {LINKS}, ' ' ORDER BY uri) AS resources
-          FROM tags WHERE length(word) <= 10 GROUP BY id)
+          FROM tags GROUP BY id)
 SELECT doc_id AS id, coalesce(resources, '') AS resources FROM documents LEFT JOIN found ON id = doc_id
 """)
 def _enrich_resources(spark, sf):
@@ -233,11 +232,14 @@ def _semantic_similarity(spark, sf):
 @query("time_similarity", """
 SELECT a.event_id AS id, round(1 - least(abs(epoch_us(b.ts) / 3.6e9 - epoch_us(a.ts) / 3.6e9) / 72, 1), 6) AS similarity,
        1.0 AS undecayed
-FROM events a JOIN events b ON a.event_id = 9 * b.event_id
+FROM events a JOIN events b ON b.event_id = coalesce(nullif(a.event_id, (SELECT max(event_id) FROM events)) + 1, (SELECT min(event_id) FROM events))
 """)
 def _time_similarity(spark, sf):
     events = inputs.table(spark, sf, "events").select(F.col("event_id").alias("id"), S.hours(F.col("ts")).alias("h"))
-    other = events.select((F.col("id") * 9).alias("id"), F.col("h").alias("g"))
+    ends = events.agg(F.min("id").alias("low"), F.max("id").alias("high")).first()
+    # each event with the one before it by number, the first with the last
+    before = F.when(F.col("id") == ends["low"], F.lit(ends["high"])).otherwise(F.col("id") - 1)
+    other = events.select(before.alias("id"), F.col("h").alias("g"))
     apart = F.col("g") - F.col("h")
     return events.join(other, "id").select(
         "id",

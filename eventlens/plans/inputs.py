@@ -37,14 +37,14 @@ def tweets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def raw_tweets(spark: SparkSession, sf: str) -> DataFrame:
-    """Tweets as the nested documents they are read from; the Spanish ones have no text field."""
+    """Tweets as the nested documents they are read from."""
     tags = F.transform(
         "hashtags",
         lambda h: F.struct(h.alias("text"), F.array(F.lit(0), F.length(h)).alias("indices")),
     )
     return tweets(spark, sf).select(
         F.col("id").alias("_id"),
-        F.when(F.col("lang") != "es", F.col("text")).alias("cleaned_text"),
+        F.col("text").alias("cleaned_text"),
         F.col("created_at").cast("timestamp").alias("created_at"),
         F.struct(tags.alias("hashtags")).alias("entities"),
         F.col("split_hashtags").alias("splitted_hashtags"),
@@ -111,8 +111,7 @@ def tagged_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 def responses(spark: SparkSession, sf: str) -> DataFrame:
     """``(id, response, tagged)``: what an entity-linking service might answer. Capitalised words
-    are the entities; scores, ranks and types follow from a word's length and place. Spanish texts
-    have no answer, German ones an empty answer."""
+    are the entities; scores, ranks and types follow from a word's length and place."""
     token = F.struct("begin", "end", "word", "tag", "lemma")
     n, begin = F.length("word"), F.col("begin")
     resource = F.when(
@@ -135,12 +134,7 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
         F.array_sort(F.collect_list(resource)).alias("found"),
     )
     answer = F.to_json(F.struct(F.transform("found", lambda f: f["r"]).alias("Resources")))
-    langs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang")
-    return rows.join(langs, "id").select(
-        "id",
-        F.when(F.col("lang") == "de", "{}").when(F.col("lang") != "es", answer).alias("response"),
-        "tagged",
-    )
+    return rows.select("id", answer.alias("response"), "tagged")
 
 
 def entity_types(n: Column) -> Column:
@@ -163,7 +157,7 @@ def gazetteer(spark: SparkSession, sf: str) -> DataFrame:
     )
     names = items.select(words.alias("w")).select(F.explode(F.concat(F.col("w"), pairs)).alias("surface"))
     n = F.length("surface")
-    return names.distinct().filter(n >= 4).select(
+    return names.distinct().select(
         "surface",
         F.concat(F.lit(URI), F.replace(F.col("surface"), F.lit(" "), F.lit("_"))).alias("uri"),
         entity_types(n).alias("types"),
@@ -188,10 +182,10 @@ def tag_resource(word: Column) -> Column:
 
 
 def page_links(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages of all hashtags but the longest; links repeat."""
+    """Pages of all hashtags; links repeat."""
     words = texts(spark, sf).select(F.explode(hashtags(F.col("text"))).alias("word")).distinct()
     page = tag_resource(F.col("word"))
-    rows = words.filter(F.length("word") <= 10).select(page.alias("page"))
+    rows = words.select(page.alias("page"))
     return rows.select("page.uri", F.concat("page.in_links", "page.in_links").alias("in_links"))
 
 

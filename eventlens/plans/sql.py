@@ -207,7 +207,7 @@ entities AS (SELECT id, begin AS start, n AS width, CASE WHEN n = 10 THEN 'Day'
              CASE n % 3 WHEN 0 THEN 0.8 WHEN 1 THEN 0.81 ELSE 0.95 END AS score,
              CASE begin % 4 WHEN 0 THEN 0.0 WHEN 1 THEN 0.5 WHEN 2 THEN 0.51 ELSE 0.2 END AS second_rank,
              {types_of('n')} AS types, {kind_of('n')} AS kind
-             FROM tagged WHERE regexp_matches(word, '^[A-Z][a-z]{{5,}}$') AND id IN (SELECT doc_id FROM documents WHERE lang IN ('en', 'fr'))),
+             FROM tagged WHERE regexp_matches(word, '^[A-Z][a-z]{{5,}}$')),
 annotations AS (SELECT * FROM entities e WHERE score > 0.8 AND second_rank <= 0.5
                 AND uri <> '{URI}Music' AND surface <> 'Day'
                 AND EXISTS (SELECT 1 FROM tagged t WHERE t.id = e.id AND t.tag LIKE 'N%'

@@ -25,7 +25,7 @@ def _joined(tokens, sep=" "):
 
 @query("tweets_projection", f"""
 WITH {sql.TWEETS}
-SELECT id, CASE WHEN lang <> 'es' THEN text END AS text, created_at, array_to_string(hashtags, ' ') AS hashtags,
+SELECT id, text, created_at, array_to_string(hashtags, ' ') AS hashtags,
        split_hashtags FROM tweets
 """)
 def _tweets_projection(spark, sf):
@@ -38,7 +38,7 @@ def _tweets_projection(spark, sf):
 
 
 @query("require_field", """
-SELECT count(*) AS with_text FROM documents JOIN events ON doc_id = event_id WHERE lang <> 'es'
+SELECT count(*) AS with_text FROM documents JOIN events ON doc_id = event_id
 """)
 def _require_field(spark, sf):
     raw = tweets.having_field(inputs.raw_tweets(spark, sf), "cleaned_text")
