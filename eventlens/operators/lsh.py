@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from ..skew import HEAVY_ROWS, skew_join
+from ..skew import HEAVY_ROWS, group_pairs, skew_join
 from . import features as V
 
 ROWS = 4
@@ -138,9 +138,11 @@ def candidates(
     return hits.groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("shared"))
 
 
+#: Up to so many tables, distinct counts come from the sizes of all ``2^tables - 1`` intersections.
+SUBSET_TABLES = 6
+
+
 def _table_subsets(bands: int) -> list[tuple[int, ...]]:
-    if bands > 6:
-        raise ValueError("exact distinct counts need 2^bands groups; use at most 6 bands")
     return [s for k in range(1, bands + 1) for s in itertools.combinations(range(bands), k)]
 
 
@@ -159,13 +161,52 @@ def _subset_rows(sigs: DataFrame, bands: int) -> DataFrame:
     return sigs.select("id", F.inline(F.array(*subsets)))
 
 
+def raw_counts(sigs: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    """``(id, n_raw)``: candidates of every id, itself left out, counted once per shared bucket. It
+    takes bucket sizes alone, so it is linear whatever the number of tables."""
+    tables = cut(hash_tables(sigs), "tables")
+    sizes = tables.groupBy("table_id", "sig").agg((F.count(F.lit(1)) - 1).alias("others"))
+    joined = skew_join(tables, sizes, ["table_id", "sig"], heavy_rows=heavy_rows)
+    return joined.groupBy("id").agg(F.sum("others").alias("n_raw"))
+
+
+def _met_groups(sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups ``(sigs, group, n)`` of ids with equal signatures in all tables, and pairs of groups
+    ``(id_a, n_a, id_b, n_b)`` that share a bucket, each in the first table it shares.
+
+    Pairs of groups in a bucket are its square; a large one is laid out in squares of parts. They
+    are summed up, never stored.
+    """
+    groups = cut(sigs.groupBy("sigs").agg(F.min("id").alias("group"), F.count(F.lit(1)).alias("n")), "groups")
+    rows = cut(
+        groups.select(F.posexplode("sigs").alias("table_id", "sig"), F.col("group").alias("id"), "n", F.col("sigs").alias("all")),
+        "group-rows",
+    )
+    same = F.zip_with("all_a", "all_b", lambda x, y: x == y)
+    pairs = group_pairs(rows, ["table_id", "sig"], "id")
+    return groups, pairs.filter(F.array_position(same, True) == F.col("table_id") + 1)
+
+
 def candidate_counts(sigs: DataFrame, bands: int, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """``(id, n_raw, n_distinct)`` for every id, itself left out: candidates counted once per
     shared bucket, and once each.
 
-    No pair is built. The distinct count is the size of a union of buckets, which follows from
-    the sizes of their intersections: ids that agree on a set of tables.
+    With few tables no pair is built: the distinct count is the size of a union of buckets, which
+    follows from the sizes of their intersections, ids that agree on a set of tables. With more,
+    groups of ids with equal signatures meet in their buckets, which is quadratic in the groups of
+    a bucket; ``raw_counts`` is not.
     """
+    if bands > SUBSET_TABLES:
+        groups, pairs = _met_groups(sigs)
+        sums = pairs.select(F.col("id_a").alias("group"), F.col("n_b").alias("m")).unionByName(
+            pairs.select(F.col("id_b").alias("group"), F.col("n_a").alias("m"))
+        ).groupBy("group").agg(F.sum("m").alias("m"))
+        counted = groups.join(sums, "group", "left").select(
+            "sigs", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_distinct")
+        )
+        return sigs.join(counted, "sigs").select("id", "n_distinct").join(raw_counts(sigs, heavy_rows), "id").select(
+            "id", "n_raw", "n_distinct"
+        )
     rows = cut(_subset_rows(sigs, bands), "subset-rows")
     sizes = rows.groupBy("subset", "key").agg((F.count(F.lit(1)) - 1).alias("others"))
     return (
@@ -180,13 +221,22 @@ def candidate_counts(sigs: DataFrame, bands: int, heavy_rows: int = HEAVY_ROWS)
 
 def pair_counts(sigs: DataFrame, bands: int) -> DataFrame:
     """One row ``(raw_pairs, distinct_pairs)``: unordered pairs over all buckets, counted per
-    bucket and once each; from group sizes alone, as above."""
+    bucket and once each; from group sizes alone, or from pairs of groups, as above."""
     n = F.col("n").cast("decimal(19,0)")
+    within = (n * (n - 1) / 2).cast("decimal(38,0)")
+    if bands > SUBSET_TABLES:
+        groups, pairs = _met_groups(sigs)
+        buckets = hash_tables(sigs).groupBy("table_id", "sig").agg(F.count(F.lit(1)).alias("n"))
+        raw = buckets.agg(F.coalesce(F.sum(within), F.lit(0)).cast("bigint").alias("raw_pairs"))
+        own = groups.select(within.alias("pairs"))
+        across = pairs.select((F.col("n_a").cast("decimal(19,0)") * F.col("n_b")).cast("decimal(38,0)").alias("pairs"))
+        distinct = own.unionByName(across).agg(F.coalesce(F.sum("pairs"), F.lit(0)).cast("bigint").alias("distinct_pairs"))
+        return raw.join(F.broadcast(distinct))  # one row each
     groups = (
         _subset_rows(sigs, bands)
         .groupBy("subset", "sign", "single", "key")
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("pairs", (n * (n - 1) / 2).cast("decimal(38,0)"))
+        .withColumn("pairs", within)
     )
     return groups.agg(
         F.sum(F.when(F.col("single"), F.col("pairs")).otherwise(0)).cast("bigint").alias("raw_pairs"),

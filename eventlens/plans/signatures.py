@@ -124,6 +124,44 @@ def _bucket_pairs(spark, sf):
     return lsh.pair_counts(lsh.signatures(inputs.vectors(spark, sf), ROWS, BANDS), BANDS)
 
 
+EVENT_ROWS, EVENT_BANDS = 13, 10
+EVENT_TABLES = f"WITH {sql.DOC_VECTORS}, {sql.signatures(EVENT_ROWS, EVENT_BANDS)}"
+
+
+@query("lsh_candidates_tables", f"""
+{EVENT_TABLES}, shared AS (SELECT q.id, t.id AS other, count(*) AS n FROM tables q JOIN tables t
+  ON q.table_id = t.table_id AND q.sig = t.sig AND q.id <> t.id GROUP BY q.id, t.id)
+SELECT s.id, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_raw, count(other) AS n_distinct
+FROM sigs s LEFT JOIN shared USING (id) GROUP BY s.id
+""")
+def _lsh_candidates_tables(spark, sf):
+    """Candidate counts at the size that event clustering uses: 13 functions in each of 10 tables."""
+    sigs = inputs.stored(lsh.signatures(inputs.vectors(spark, sf), EVENT_ROWS, EVENT_BANDS))
+    return lsh.candidate_counts(sigs, EVENT_BANDS)
+
+
+@query("bucket_pairs_tables", f"""
+{EVENT_TABLES}, shared AS (SELECT q.id, t.id AS other, count(*) AS n FROM tables q JOIN tables t
+  ON q.table_id = t.table_id AND q.sig = t.sig AND q.id < t.id GROUP BY q.id, t.id)
+SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS raw_pairs, count(*) AS distinct_pairs FROM shared
+""")
+def _bucket_pairs_tables(spark, sf):
+    sigs = inputs.stored(lsh.signatures(inputs.vectors(spark, sf), EVENT_ROWS, EVENT_BANDS))
+    return lsh.pair_counts(sigs, EVENT_BANDS)
+
+
+@query("lsh_whole_key", f"""
+WITH {sql.DOC_VECTORS}, {sql.signatures(EVENT_ROWS, 1)},
+asked AS (SELECT * FROM tables WHERE id IN (SELECT doc_id FROM labels WHERE quality = 0))
+SELECT q.id AS query_id, t.id, count(*) AS shared FROM asked q JOIN tables t USING (table_id, sig) GROUP BY q.id, t.id
+""")
+def _lsh_whole_key(spark, sf):
+    """One table: candidates agree on the whole signature."""
+    tables = inputs.stored(lsh.build(inputs.vectors(spark, sf), EVENT_ROWS, 1))
+    poor = inputs.table(spark, sf, "labels").filter("quality = 0").select(F.col("doc_id").alias("id"))
+    return lsh.candidates(tables, tables.join(poor, "id", "left_semi"), keep_self=True)
+
+
 @query("lsh_add", f"""
 WITH {sql.DOC_VECTORS}, {sql.signatures(ROWS, BANDS)},
 dense AS (SELECT * FROM (WITH {sql.DENSE}, {sql.signatures(ROWS, BANDS)} SELECT * FROM tables))

@@ -88,6 +88,17 @@ def test_candidate_counts(profiles):
     row = lsh.pair_counts(sigs, 4).first()
     assert (row["raw_pairs"], row["distinct_pairs"]) == (
         sum(map(sum, shared.values())) // 2, sum(x > 0 for n in shared.values() for x in n) // 2)
+    more, four = [s + s[:3] for s in by_id.values()], list(by_id.items())
+    wide = sigs.select("id", F.concat("sigs", F.slice("sigs", 1, 3)).alias("sigs"))
+    want = {
+        i: (sum(sum(x == y for x, y in zip(s, t)) for k, t in enumerate(more) if four[k][0] != i),
+            sum(any(x == y for x, y in zip(s, t)) for k, t in enumerate(more) if four[k][0] != i))
+        for (i, _), s in zip(four, more)
+    }
+    got = {r["id"]: (r["n_raw"], r["n_distinct"]) for r in lsh.candidate_counts(wide, 7, 3).collect()}
+    assert got == want
+    row = lsh.pair_counts(wide, 7).first()
+    assert (2 * row["raw_pairs"], 2 * row["distinct_pairs"]) == tuple(map(sum, zip(*want.values())))
     tables = cut(lsh.hash_tables(sigs))
     query = next(iter(by_id))
     got = lsh.candidates(tables, tables.filter(F.col("id") == query), heavy_rows=2).collect()
