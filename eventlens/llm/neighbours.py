@@ -60,9 +60,13 @@ def axes(x: np.ndarray, table: int, probes: int = 1, seed: int = SEED) -> np.nda
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    """Vectors stored as little-endian doubles."""
+    """Vectors stored as little-endian doubles, each brought to a size near 1 by a power of two: that
+    changes no cosine, and no square overflows."""
     values = column.to_pylist()
-    return np.frombuffer(b"".join(values), "<f8").reshape(len(values), -1) if values else np.empty((0, 0))
+    if not values:
+        return np.empty((0, 0))
+    x = np.frombuffer(b"".join(values), "<f8").reshape(len(values), -1)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
 
 
 def _usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
@@ -90,7 +94,6 @@ def _hashed(vectors: DataFrame, tables: int, probes: int, seed: int) -> DataFram
             for at in range(0, len(batch), 2048):
                 part = batch.slice(at, 2048)
                 x = _matrix(part.column(1))
-                x = x / np.abs(x).max(axis=1, keepdims=True)  # so that no square overflows
                 for t in range(tables):
                     found = axes(x, t, probes, seed)
                     rows = np.repeat(np.arange(len(part)), found.shape[1])

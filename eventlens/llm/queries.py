@@ -114,7 +114,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     scored = docs.select(
-        "doc_id", (toxicity.fold("doc_id") == 1).alias("held_out"), toxicity.score("text", model).alias("score")
+        "doc_id", F.coalesce(toxicity.fold("doc_id") == 1, F.lit(False)).alias("held_out"), toxicity.score("text", model).alias("score")
     )
     return scored.withColumn("predicted", (F.col("score") >= REJECT).cast("int"))
 
