@@ -2,7 +2,7 @@
 
 A text is cut after ``.``, ``!``, ``?`` and line ends; its sentences put together are the text again.
 Every run of a given number of sentences and at least so many words is hashed (lower case, single
-blanks). Of all places of a run, in the order of document and position, the first stays; the
+blanks); where sentences are too short for that, a longer run is. Of all places of a run, in the order of document and position, the first stays; the
 sentences of every other place go.
 
 Edge cases: null and empty texts have no sentence and stay as they are; equal rows (same id and
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Sentences of a run, and the least number of words it must have to count.
 RUNS = ((3, 12), (2, 25))
+#: The run that counts where the first kind has too few words: lists, single words.
+SHORT_RUN = (12, 12)
 SENTENCE = r"[^.!?\n]*[.!?\n]+[\s.!?]*|[^.!?\n]+$"
 
 
@@ -38,15 +40,23 @@ def _spans(docs: DataFrame, id_col: str, text: str, runs: tuple[tuple[int, int],
     )
     read = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), hashed.alias("s"))
 
-    def of(run: int, least: int) -> Column:
-        words = " + ".join(f"s[i + {k}].n" for k in range(run))
-        hashes = ", ".join(f"s[i + {k}].h" for k in range(run))
-        every = f"""CASE WHEN size(s) >= {run} THEN transform(sequence(0, size(s) - {run}), i ->
-            struct(i AS at, {run} AS run, {words} AS words, xxhash64({run}, {hashes}) AS span))
-            ELSE array() END"""
-        return F.expr(f"filter({every}, e -> e.words >= {least})")
+    def words(run: int) -> str:
+        return " + ".join(f"s[i + {k}].n" for k in range(run))
 
-    spans = reduce(F.concat, [of(run, least) for run, least in runs])
+    def of(run: int, least: int, short: bool = False) -> Column:
+        hashes = ", ".join(f"s[i + {k}].h" for k in range(run))
+        counts = f"{words(run)} >= {least}"
+        if short:
+            counts += f" AND {words(runs[0][0])} < {runs[0][1]}"
+        every = f"""CASE WHEN size(s) >= {run} THEN filter(transform(sequence(0, size(s) - {run}), i ->
+            CASE WHEN {counts} THEN struct(i AS at, {run} AS run, xxhash64({run}, {hashes}) AS span) END),
+            e -> e IS NOT NULL) ELSE array() END"""
+        return F.expr(every)
+
+    found = [of(run, least) for run, least in runs]
+    if SHORT_RUN[0] > runs[0][0]:
+        found.append(of(*SHORT_RUN, short=True))
+    spans = reduce(F.concat, found)
     return read.select("id", "mark", F.explode(spans).alias("e")).select(
         "id", "mark", "e.at", "e.run", "e.span"
     )

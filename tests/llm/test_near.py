@@ -99,10 +99,13 @@ def cut_repeats(rows):
     first, gone = {}, {k: set() for k in parts}
     for k in order:
         plain = [re.sub(r"\s+", " ", s.lower()).strip() for s in parts[k]]
-        for n, least in spans.RUNS:
+        sizes = [len(s.split(" ")) for s in plain]
+        for n, least in [*spans.RUNS, spans.SHORT_RUN]:
             for at in range(len(plain) - n + 1):
                 run = (n, *plain[at : at + n])
-                if sum(len(s.split(" ")) for s in run[1:]) < least:
+                if sum(sizes[at : at + n]) < least:
+                    continue
+                if n == spans.SHORT_RUN[0] and sum(sizes[at : at + spans.RUNS[0][0]]) >= spans.RUNS[0][1]:
                     continue
                 # equal rows are one document
                 if first.setdefault(run, (rows[k], at)) != (rows[k], at):
@@ -111,9 +114,11 @@ def cut_repeats(rows):
 
 
 def test_spans(spark, some_docs):
+    some_docs = [*some_docs, (500, "A! B! C? " * 9), (501, "New one. " + "A! B! C? " * 6 + "Q! " * 3)]
     docs = spark.createDataFrame(some_docs, "doc_id long, text string").repartition(6)
     found = spans.remove_repeats(docs, removed="gone").select("doc_id", "text", "gone").collect()
     assert sorted(map(tuple, found)) == sorted(cut_repeats(some_docs))
+    assert {r["text"] for r in found if r["doc_id"] == 501} == {"New one. " + "Q! " * 3}
     assert sum(bool(r["gone"]) for r in found) > 25
 
 
