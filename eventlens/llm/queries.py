@@ -140,6 +140,32 @@ def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _covered(runs: list[tuple[int, int]]) -> str:
+    """Runs of sentences as rows ``(doc_id, at, n, run)``, by their text."""
+    (first, least), parts = spans.RUNS[0], []
+    for n, words in runs:
+        few = f"AND list_sum(sizes[i:i + {first - 1}]) < {least}" if (n, words) == spans.SHORT_RUN else ""
+        parts.append(f"""SELECT doc_id, i AS pos, {n} AS n, '{n}:' || array_to_string(plain[i:i + {n - 1}], chr(1)) AS run
+            FROM (SELECT *, unnest(range(1, len(plain) - {n - 2})) AS i FROM sized)
+            WHERE list_sum(sizes[i:i + {n - 1}]) >= {words} {few}""")
+    return " UNION ALL ".join(parts)
+
+
+ORACLES["op4_sentence_spans"] = rf"""
+WITH cut AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '{spans.SENTENCE}') AS s FROM documents),
+plained AS (SELECT *, list_transform(s, lambda x: trim(regexp_replace(lower(x), '\s+', ' ', 'g'))) AS plain FROM cut),
+sized AS (SELECT *, list_transform(plain, lambda x: len(string_split(x, ' '))) AS sizes FROM plained),
+runs AS ({_covered([*spans.RUNS, spans.SHORT_RUN])}),
+later AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) AS place FROM runs),
+gone AS (SELECT doc_id, list_sort(list_distinct(flatten(list(range(pos - 1, pos - 1 + n))))) AS removed
+         FROM later WHERE place > 1 GROUP BY doc_id)
+SELECT doc_id, coalesce(len(removed), 0) AS n_removed, coalesce(list_transform(removed, lambda x: x::INTEGER), []) AS removed,
+       CASE WHEN removed IS NULL THEN text ELSE array_to_string(list_transform(
+           list_filter(range(1, len(s) + 1), lambda i: NOT list_contains(removed, i - 1)), lambda i: s[i]), '') END AS text
+FROM cut LEFT JOIN gone USING (doc_id)
+"""
+
+
 @query
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
@@ -164,6 +190,47 @@ def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", licences.licences("text").alias("found")).select("doc_id", "found.*")
 
 
+def template_pattern(template: str) -> str:
+    """The wordings of a template as a pattern over words with a blank after each."""
+    out = ""
+    for part in template.replace("[", " [ ").replace("]", " ] ").split():
+        if part in "[]":
+            out += "(" if part == "[" else ")?"
+        elif "," in part:
+            out += f"([^ ]+ ){part}"
+        else:
+            out += f"({part.strip('{}')}) "
+    return out
+
+
+def _phrase_places(phrase: str) -> str:
+    words = phrase.split()
+    same = " AND ".join(f"w[i + {k}] = '{word}'" for k, word in enumerate(words))
+    return f"list_filter(range(1, len(w) - {len(words) - 2}), lambda i: {same})"
+
+
+_LABELS = {label: f"len({_phrase_places(phrase)}) > 0" for phrase, label in licences.PHRASES.items()}
+_TEMPLATE_LABELS = {label: f"regexp_matches(line, ' {template_pattern(t)}')" for label, t in licences.TEMPLATES.items()}
+
+
+def _label_list(labels: dict[str, str]) -> str:
+    cases = ", ".join(f"CASE WHEN {test} THEN '{label}' END" for label, test in labels.items())
+    return f"array_to_string(list_sort(list_filter([{cases}], lambda x: x IS NOT NULL)), ',')"
+
+
+LOWER_ASCII = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES["op7_licences"] = rf"""
+WITH words AS (SELECT doc_id, regexp_extract_all({LOWER_ASCII}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+lines AS (SELECT *, ' ' || array_to_string(w, ' ') || ' ' AS line,
+          list_concat({", ".join(_phrase_places(p) for p in licences.PHRASES)}) AS places FROM words),
+found AS (SELECT *, {_label_list(_LABELS)} AS base_labels, {_label_list(_LABELS | _TEMPLATE_LABELS)} AS labels FROM lines)
+SELECT doc_id, len(w) AS n_words, len(places) AS n_base, list_min(places) - 1 AS first_word, list_max(places) - 1 AS last_word,
+       base_labels, labels, CASE WHEN labels <> base_labels THEN 1.0 WHEN base_labels <> '' THEN 0.5 ELSE 0.0 END AS score
+FROM found
+"""
+
+
 @query
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary())
@@ -180,6 +247,21 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+ORACLES["op9_jaccard"] = rf"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({LOWER_ASCII}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+runs AS (SELECT DISTINCT doc_id, run FROM (SELECT doc_id, unnest(CASE
+    WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS run FROM words)),
+sizes AS (SELECT doc_id, count(*) AS n FROM runs GROUP BY doc_id),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM runs a JOIN runs b ON a.run = b.run AND a.doc_id <> b.doc_id
+    JOIN sizes n ON n.doc_id = a.doc_id JOIN sizes m ON m.doc_id = b.doc_id
+    GROUP BY a.doc_id, b.doc_id, n.n, m.n HAVING 100 * count(*) >= 75 * (n.n + m.n - count(*))),
+reached AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT doc_id, b FROM reached JOIN links ON a = other)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, min(other)) AS component_id
+FROM reached LEFT JOIN sizes USING (doc_id) GROUP BY doc_id, n
+"""
+
+
 @query
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprints.with_next(table(spark, sf_dir, "documents"))
