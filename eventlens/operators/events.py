@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,7 @@ def event_clusters(
     rows: int = ROWS,
     bands: int = BANDS,
     seed: int = lsh.SEED,
+    model: Any = None,
     time_decay: str = "hours",
     count_mode: str = "distinct",
     border: str = "bridge",
@@ -49,7 +52,8 @@ def event_clusters(
     Two tweets are neighbours when they are candidates (``'lsh'``: equal signature in a table;
     ``'exact'``: every pair) and ``1 - time * (cos + entities) / 2 <= eps``. A core has more than
     ``min_pts`` neighbours and counts itself; ``count_mode='bands'`` counts a neighbour once per
-    shared table. ``resources`` holds ``(id, resources)`` arrays of ``(uri, in_links)``.
+    shared table. With a ``model`` (as ``store.load_model`` returns it) its hash tables and their
+    number are used instead of new ones; tweets it does not have are noise. ``resources`` holds ``(id, resources)`` arrays of ``(uri, in_links)``.
 
     Tweets with equal tokens and resources in one stretch of time form a cell. Vectors,
     signatures and similarities are computed once per cell, so a text that was copied a million
@@ -61,6 +65,10 @@ def event_clusters(
         raise ValueError("unknown count_mode or candidates")
     if count_mode == "bands" and candidates == "exact":
         raise ValueError("exact candidates have no tables to count")
+    if model is not None:
+        if candidates == "exact" or lsh_tokens is not None:
+            raise ValueError("a model brings its own signatures")
+        rows, bands = model.rows, model.bands
     threshold = 1.0 - 2.0 * eps
     decays = time_decay == "hours"
     # neighbours are at most this many hours apart, even at the highest similarity
@@ -106,7 +114,11 @@ def event_clusters(
             other = other.filter(F.size("tokens") >= V.MIN_TOKENS)
             other_tf = cut(V.term_freq(other, "copies"), "lsh-tf")
             hashed = cut(V.profiles(V.tfidf(other_tf, copies="copies", heavy_rows=heavy_rows)), "lsh-profiles")
-        sigs = cut(lsh.profile_signatures(spread(hashed), rows, bands, seed), "signatures")
+        if model is None:
+            sigs = lsh.profile_signatures(spread(hashed), rows, bands, seed)
+        else:
+            sigs = lsh.table_signatures(model.tables.join(profiles.select("id"), "id", "left_semi"))
+        sigs = cut(sigs, "signatures")
         tables = lsh.hash_tables(sigs)
         cells = cells.join(sigs.select("id"), "id")
         near = similar.bucket_candidates(profiles, threshold, blocks, tables, bucket_rows)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut, spread
-from ..skew import HEAVY_ROWS, all_parts, part_of
+from ..skew import HEAVY_ROWS, all_parts, part_of, small_side
 
 MIN_TOKENS = 2
 MIN_DOC_FREQ = 2
@@ -72,13 +72,13 @@ def tfidf(
     """``(id, term, df, w)`` without zero weights; ``tf`` should be a stored table.
 
     Term frequencies are shuffled by term once more here, and a common term sits in a large part
-    of all documents. Its document frequency is known, so terms above ``heavy_rows`` rows (at most
-    rows / ``heavy_rows`` of them, a bounded broadcast) are split over several tasks.
+    of all documents. Its document frequency is known, so terms above ``heavy_rows`` rows are split
+    over several tasks; at most rows / ``heavy_rows`` terms are, and they are broadcast while few.
     """
     idf = inverse_doc_freq(doc_freq(tf, copies), min_doc_freq).filter("idf <> 0")
     parts = F.ceil(F.col("df") / heavy_rows).cast("int")
     heavy = idf.filter(F.col("df") > heavy_rows).select("term", parts.alias("_parts"))
-    left = tf.filter("term IS NOT NULL").join(F.broadcast(heavy), "term", "left")
+    left = tf.filter("term IS NOT NULL").join(small_side(heavy, tf.count(), heavy_rows), "term", "left")
     left = left.withColumn("_part", part_of("id")).drop("_parts")
     right = idf.withColumn("_parts", parts).withColumn("_part", all_parts()).drop("_parts")
     return left.join(right, ["term", "_part"]).select(

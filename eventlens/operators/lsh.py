@@ -101,6 +101,12 @@ def build(vectors: DataFrame, rows: int = ROWS, bands: int = BANDS, seed: int =
     return hash_tables(signatures(vectors, rows, bands, seed))
 
 
+def table_signatures(tables: DataFrame) -> DataFrame:
+    """``(id, sigs)`` of hash tables: an id's signatures in the order of the tables."""
+    rows = tables.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("table_id", "sig"))).alias("rows"))
+    return rows.select("id", F.transform("rows", lambda r: r["sig"]).alias("sigs"))
+
+
 def add(tables: DataFrame, vectors: DataFrame, rows: int, bands: int, seed: int = SEED) -> DataFrame:
     """Hash tables with the rows of new vectors."""
     return tables.unionByName(build(vectors, rows, bands, seed))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from ..skew import HEAVY_ROWS, group_pairs, skew_join
+from ..skew import HEAVY_ROWS, skew_join, small_side
 from .density import LEAF_PAIRS, Clustering, Neighbors, density_clusters, find_neighbors
 
 Norm = Callable[[list[Column]], Column]
@@ -119,10 +119,11 @@ def eps_join(
     )
     home = F.forall("step", lambda s: s == 0)
     left = spread.withColumn("home", home).drop("step")
-    crowded = F.broadcast(
+    crowded = (
         rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > part_rows)
         .select("cell", F.ceil(F.col("n") / part_rows).cast("int").alias("_parts"))
     )
+    crowded = small_side(crowded, points.count(), part_rows)
     own = F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(
         F.pmod(F.xxhash64("id"), F.col("_parts").cast("bigint")).cast("int")
     )
@@ -193,6 +194,6 @@ def metric_neighbors(
 
 
 __all__ = [
-    "adjacent_cells", "chebyshev", "dbscan", "eps_join", "euclidean", "grid_cell", "group_pairs",
-    "manhattan", "metric_neighbors", "mirrored", "point_neighbors",
+    "adjacent_cells", "chebyshev", "dbscan", "eps_join", "euclidean", "grid_cell", "manhattan",
+    "metric_neighbors", "mirrored", "point_neighbors",
 ]

@@ -28,6 +28,12 @@ def heavy_keys(rows: DataFrame, keys: list[str], limit: int) -> DataFrame:
     )
 
 
+def small_side(keys: DataFrame, total: int, limit: int) -> DataFrame:
+    """A table of the keys that have more than ``limit`` of ``total`` rows: marked for a broadcast
+    while there can be few of them, else left to the join that Spark picks."""
+    return F.broadcast(keys) if total // limit <= MAX_HEAVY_KEYS else keys
+
+
 def part_of(*cols: str) -> Column:
     """The part a row of a heavy key belongs to; 0 for every other key."""
     return F.when(
@@ -111,10 +117,8 @@ def group_pairs(
     if total <= heavy_rows:
         return side(left, "a", "_same").join(side(right, "b"), keys).filter(wanted).drop("_same")
     sized = left.select(*keys) if others is None else left.select(*keys).unionByName(right.select(*keys))
-    heavy = heavy_keys(sized, keys, heavy_rows)
     rows_sized = total if step is None else total * len(offsets)
-    if rows_sized // heavy_rows <= MAX_HEAVY_KEYS:  # so many keys at most have more rows
-        heavy = F.broadcast(heavy)
+    heavy = small_side(heavy_keys(sized, keys, heavy_rows), rows_sized, heavy_rows)
     left = left.join(heavy, keys, "left").withColumn("_i", part_of(id_col)).withColumn("_j", all_parts())
     right = right.join(heavy, keys, "left").withColumn("_j", part_of(id_col)).withColumn("_i", all_parts())
     return (
