@@ -39,8 +39,10 @@ def term_freq(rows: DataFrame, copies: str | None = None) -> DataFrame:
 
 
 def hashed_term_freq(rows: DataFrame, size: int = HASH_SIZE) -> DataFrame:
-    """``(id, bucket, tf)`` with terms hashed to ``size`` buckets."""
-    bucket = F.pmod(F.xxhash64("term"), F.lit(size)).alias("bucket")
+    """``(id, bucket, tf)`` with terms hashed to ``size`` buckets, by the first digits of a digest
+    that other engines have too."""
+    digits = F.substring(F.sha2("term", 256), 1, 13)
+    bucket = F.pmod(F.conv(digits, 16, 10).cast("bigint"), F.lit(size)).alias("bucket")
     return (
         rows.select("id", F.explode("tokens").alias("term"))
         .groupBy("id", bucket)

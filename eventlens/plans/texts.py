@@ -307,7 +307,19 @@ def _pairs_text(pairs):
     return F.array_join(F.transform(pairs, lambda p: F.concat_ws("/", p["lemma"], p["tag"])), " ")
 
 
-@query("pos_filter")
+# some letters three times in a row, from some place on
+ELONGATED = """len(list_filter(flatten(list_transform(range(1, length(word) // 3 + 1), lambda p:
+  list_transform(range(1, length(word) - 3 * p + 2), lambda i: substr(word, i, p) = substr(word, i + p, p)
+  AND substr(word, i, p) = substr(word, i + 2 * p, p) AND regexp_full_match(substr(word, i, p), '[a-zA-Z]+')))),
+  lambda x: x)) > 0"""
+
+
+@query("pos_filter", f"""
+WITH {sql.TAGGED}, forms AS (SELECT word, {ELONGATED} AS elongated FROM (SELECT DISTINCT word FROM tagged)),
+kept AS (SELECT id, string_agg(word || '/' || tag, ' ' ORDER BY pos) AS words FROM tagged JOIN forms USING (word)
+  WHERE n > 2 AND NOT elongated AND tag NOT IN {sql.text_list(W.UNWANTED_TAGS)} GROUP BY id)
+SELECT doc_id AS id, coalesce(words, '') AS words FROM documents LEFT JOIN kept ON id = doc_id
+""")
 def _pos_filter(spark, sf):
     kept = X.keep_content_words(F.col("tagged"))
     words = F.transform(kept, lambda t: F.concat_ws("/", t["word"], t["tag"]))
@@ -355,7 +367,10 @@ def _term_freq(spark, sf):
     return V.term_freq(_rows(spark, sf)).filter("term IS NOT NULL").select("id", "term", "tf")
 
 
-@query("term_freq_hashed")
+@query("term_freq_hashed", f"""
+WITH {sql.DOC_VECTORS} SELECT id, bucket, CAST(sum(tf) AS BIGINT) AS tf FROM
+(SELECT id, CAST('0x' || left(sha256(term), 13) AS BIGINT) % {V.HASH_SIZE} AS bucket, tf FROM tf) GROUP BY id, bucket
+""")
 def _term_freq_hashed(spark, sf):
     return V.hashed_term_freq(_rows(spark, sf))
 
