@@ -55,9 +55,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def remove_steps(spark: SparkSession) -> None:
     """Remove what ``cut`` has written in this application. Results still read from there: call it
     once they are written elsewhere, before the session stops."""
-    context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(steps_dir(spark))
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, steps_dir(spark))
 
 
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
@@ -65,7 +63,23 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     executor costs one re-read, and row counts come from the file footers."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.step_path = path
+    return stored
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def release(*steps: DataFrame) -> None:
+    """Remove the tables of steps (results of ``cut`` themselves) that no result reads any more."""
+    for step in steps:
+        path = getattr(step, "step_path", None)
+        if isinstance(path, str):
+            _delete(step.sparkSession, path)
 
 
 def measured_cut(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
