@@ -16,7 +16,6 @@ equal rows are packed each; an empty table gives no piece; of the input only id
 
 from __future__ import annotations
 
-import json
 import os
 import re
 import unicodedata
@@ -35,7 +34,7 @@ from ..session import measured_cut
 from .words import mix
 
 LENGTH, WINDOWS, END_ID = 2048, 64, 1
-KNOWN_PIECES = 800_000
+KNOWN_PIECES = 300_000
 
 #: Fixed value: the pattern of the vocabulary whose pieces are cut here.
 FIXED_PATTERN = r"[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -44,7 +43,7 @@ MERGE_TOKENS = 8 * WINDOWS * LENGTH
 
 #: Texts that need the library's own normaliser, or its special tokens.
 OTHER = re.compile("[^\x00-\xff]|<\\|")
-CHUNK_CHARS = 2 << 20
+CHUNK_CHARS = 1 << 20
 
 _BLANK, _LETTER, _DIGIT, _SIGN = range(4)
 
@@ -98,11 +97,10 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(file)
-        rules = json.loads(self.tokenizer.to_str())
+        rules = self.tokenizer.to_str().split('"model"', 1)[0]  # without the vocabulary
         # cutting here is right for this normaliser and pattern only
-        kinds = [n["type"] for n in (rules["normalizer"] or {}).get("normalizers", [])]
-        pattern = str(rules["pre_tokenizer"])
-        self.by_piece = kinds == ["NFC", "Replace", "Lowercase"] and FIXED_PATTERN in pattern
+        kinds = re.findall(r'"type":"(\w+)"', rules.split('"pre_tokenizer"')[0].split('"normalizer":')[-1])
+        self.by_piece = kinds == ["Sequence", "NFC", "Replace", "Lowercase"] and FIXED_PATTERN in rules
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.chars = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(256)} if self.by_piece else {}
         self.most = known_pieces

@@ -23,7 +23,16 @@ def query(function: Callable[[SparkSession, str], DataFrame]):
     return function
 
 
+#: Rows that go to Python at once: texts are long, and a batch is in memory several times over.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
