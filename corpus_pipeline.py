@@ -30,6 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id; of equal rows one. Documents
     without words are in no group."""
+    queries.small_batches(spark)
     name = F.struct("doc_id", F.xxhash64("text").alias("mark"))
     rows = jaccard.near_duplicates(docs.select(name.alias("name"), "text"), id_col="name")
     first = rows.filter(F.col("id").eqNullSafe(F.col("component"))).select("id.doc_id", "id.mark").distinct()
@@ -57,6 +58,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all sequences, with their ids."""
+    queries.small_batches(spark)
     return packing.pack(docs, queries.vocabulary())
 
 
