@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, release
 
 WINDOW_WORDS = 16
 LEVEL = 9
@@ -221,9 +221,10 @@ def train(
     texts = _texts(docs, _labelled(labels, id_col, label, sample), id_col, text)
     counts = _word_counts(texts)
     model = _dictionaries(counts, (0, 2))
+    halves = [(unseen, _dictionaries(counts, (known,))) for known, unseen in ((0, 2), (2, 0))]
+    release(counts)
     rows = []
-    for known, unseen in ((0, 2), (2, 0)):
-        half = _dictionaries(counts, (known,))
+    for unseen, half in halves:
         if half is not None:
             seen = texts.filter(F.col("fold") == unseen)
             rows.append(seen.select("toxic", savings("text", half).alias("s")).select("toxic", "s.*").toPandas())
