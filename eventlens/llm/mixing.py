@@ -128,20 +128,21 @@ def schedule(
         .withColumn("mix_key", key)
         .withColumn("mix_bucket", F.least(bucket, buckets - 1))
     )
-    place = ["mix_source", "mix_pass", "mix_bucket"]
-    earlier = Window.partitionBy("mix_source", "mix_pass").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # a source in columns without null, so that one exchange serves the windows and the join
+    rows = rows.withColumn("mix_known", F.col("mix_source").isNotNull()).withColumn("mix_name", F.coalesce(F.col("mix_source").cast("string"), F.lit("")))
+    place = ["mix_known", "mix_name", "mix_pass", "mix_bucket"]
+    earlier = Window.partitionBy("mix_known", "mix_name", "mix_pass").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         rows.groupBy(*place).agg(F.sum(tokens).alias("mix_sum"))
         .withColumn("mix_start", F.coalesce(F.sum("mix_sum").over(earlier), F.lit(0)))
-        .select(*[F.col(c).alias(f"{c}_b") for c in place], "mix_start")
+        .select(*place, "mix_start")
     )
     own = Window.partitionBy(*place).orderBy("mix_key", *id_cols).rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("mix_pass") * F.col("mix_size") + F.col("mix_start") + F.coalesce(F.col("mix_own"), F.lit(0))
-    same = [F.col(c).eqNullSafe(F.col(f"{c}_b")) for c in place]
     block = F.floor(F.col("mix_before") / (F.col("mix_weight") * F.lit(float(block_tokens)))).cast("bigint")
     return (
         rows.withColumn("mix_own", F.sum(tokens).over(own))
-        .join(starts, same)
+        .join(starts, place)
         .withColumn("mix_before", before.cast("bigint"))
         .filter(F.col("mix_before") < F.col("mix_budget"))
         .withColumn("mix_block", block)
