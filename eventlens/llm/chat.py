@@ -4,9 +4,8 @@
   then arguments) is the call, the others are ``duplicate``; likewise the first result counts and the
   others are counted. A call without a result is ``unanswered``, a result without a call ``orphan``.
 * ``level`` orders calls topologically: 0 for a call that depends on none, else one more than the
-  highest level of those it depends on. Levels are found in rounds over the edges that are left, as
-  many rounds as the longest chain has calls; what is left when a round finds nothing is a
-  ``cycle`` or depends on one, and has no level. An id that no call has counts as unknown, not as an edge.
+  highest level of those it depends on. Chains are followed by doubling, calls that depend on several
+  are solved in rounds; what is left is a ``cycle`` or depends on one, and has no level. An id that no call has counts as unknown, not as an edge.
 * Arguments are parsed to a variant, checked against the tool's fields (present, type, smallest
   and largest value or length, no other fields), and written as canonical JSON: keys sorted, no blanks.
 
@@ -23,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, measured_cut
+from ..session import cut, measured_cut, release
 
 #: Columns of the inputs. ``depends_on`` is an array of call ids.
 CALLS = ["conv_id", "turn", "call_id", "tool", "arguments", "depends_on"]
@@ -82,25 +81,59 @@ def errors(arguments: str, fields: str) -> Column:
 
 def levels(calls: DataFrame) -> DataFrame:
     """``(call_id, level)`` of linked calls ``(call_id, depends_on)``; calls in a cycle, or behind
-    one, are missing."""
-    edges = (
+    one, are missing.
+
+    Chains are followed by doubling: a call that depends on one other points to it, and in every
+    round each pointer takes over the one it points to, until it ends at a call that depends on
+    none or on several. Rounds grow with the logarithm of a chain's length. Calls that depend on
+    several are then solved in rounds among themselves, each after those it leads to.
+    """
+    edges = cut(
         calls.select("call_id", F.explode("depends_on").alias("parent"))
         .distinct()
-        .join(calls.select(F.col("call_id").alias("parent")), "parent", "left_semi")
+        .join(calls.select(F.col("call_id").alias("parent")), "parent", "left_semi"),
+        "edges",
     )
-    left, facts = measured_cut(edges, "edges", n=F.count(F.lit(1)))
-    found = calls.select("call_id").join(left.select("call_id").distinct(), "call_id", "left_anti")
-    level, result = 0, None
-    while True:
-        found, size = measured_cut(found.withColumn("level", F.lit(level)), "level", n=F.count(F.lit(1)))
-        result = found if result is None else result.unionByName(found)
-        if not facts["n"] or not size["n"]:
-            return result
-        waiting = left
-        parents = found.select(F.col("call_id").alias("parent"))
-        left, facts = measured_cut(waiting.join(parents, "parent", "left_anti"), "edges", n=F.count(F.lit(1)))
-        found = waiting.select("call_id").distinct().join(left.select("call_id").distinct(), "call_id", "left_anti")
-        level += 1
+    degree = edges.groupBy("call_id").agg(F.count(F.lit(1)).alias("n"), F.min("parent").alias("parent"))
+    one = F.coalesce("n", F.lit(0)) == 1
+    start = calls.select("call_id").join(degree, "call_id", "left").select(
+        "call_id", F.when(one, F.col("parent")).otherwise(F.col("call_id")).alias("end"),
+        one.cast("long").alias("steps"), (~one).alias("done"), F.coalesce("n", F.lit(0)).alias("n"),
+    )
+    paths, facts = measured_cut(start, "paths", all=F.count(F.lit(1)), open=F.count_if(~F.col("done")), several=F.count_if(F.col("n") > 1))
+    several = facts["several"] or 0
+    # a chain has fewer calls than there are; what is open after so many rounds is a cycle
+    for _ in range((facts["all"] or 0).bit_length()):
+        if not facts["open"]:
+            break
+        after = paths.select(F.col("call_id").alias("end"), F.col("end").alias("far"), F.col("steps").alias("more"), F.col("done").alias("far_done"))
+        moved = paths.filter("NOT done").join(after, "end").select(
+            "call_id", F.col("far").alias("end"), (F.col("steps") + F.col("more")).alias("steps"), F.col("far_done").alias("done"), "n"
+        )
+        before = paths
+        paths, facts = measured_cut(paths.filter("done").unionByName(moved), "paths", open=F.count_if(~F.col("done")))
+        release(before)
+    solved = paths.filter("n = 0").select(F.col("call_id").alias("end"), F.lit(0).cast("long").alias("level"))
+    if several:
+        ways = paths.filter("done").select(F.col("call_id").alias("parent"), "end", "steps")
+        waiting = cut(
+            edges.join(paths.filter("n > 1").select("call_id"), "call_id", "left_semi").join(ways, "parent", "left")
+            .select("call_id", "end", (F.col("steps") + 1).alias("steps")),
+            "waiting",
+        )
+        solved = cut(solved, "solved")
+        while True:
+            ready = (
+                waiting.join(solved, "end", "left").groupBy("call_id")
+                .agg(F.max(F.col("level") + F.col("steps")).alias("level"), F.count_if(F.col("level").isNull()).alias("unknown"))
+                .filter("unknown = 0")
+            )
+            ready, size = measured_cut(ready.select(F.col("call_id").alias("end"), "level"), "ready", n=F.count(F.lit(1)))
+            if not size["n"]:
+                break
+            solved = solved.unionByName(ready)
+            waiting = cut(waiting.join(ready.select(F.col("end").alias("call_id")), "call_id", "left_anti"), "waiting")
+    return paths.filter("done").join(solved, "end").select("call_id", (F.col("level") + F.col("steps")).cast("int").alias("level"))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:

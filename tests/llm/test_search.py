@@ -199,6 +199,13 @@ def test_levels_of_a_chain(spark):
     assert {int(r["call_id"]): r["level"] for r in found} == want
 
 
+def test_levels_of_a_long_chain(spark):
+    rows = [(str(i), [str(i - 1)]) for i in range(300)] + [("x", ["299", "7"]), ("y", ["x"]), ("c", ["d"]), ("d", ["c"]), ("e", ["c", "3"])]
+    found = chat.levels(spark.createDataFrame(rows, "call_id string, depends_on array<string>")).collect()
+    want = {str(i): i for i in range(300)} | {"x": 300, "y": 301}
+    assert {r["call_id"]: r["level"] for r in found} == want
+
+
 def test_canonical_json(spark):
     values = ['{"b": [1, {"d":null,"c":true}], "a": "é\\n\\"/"}', "{", None, '"x"', "12", '{"a":1,"a":2}']
     frame = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
