@@ -1,11 +1,17 @@
-"""Removal of repeated passages: runs of consecutive sentences that occur before.
+"""Removal of repeated passages: runs of consecutive pieces that occur before.
 
-A text is cut after ``.``, ``!``, ``?`` and line ends; its sentences put together are the text again.
-Every run of a given number of sentences and at least so many words is hashed (lower case, single
-blanks); where sentences are too short for that, a longer run is. Of all places of a run, in the order of document and position, the first stays; the
-sentences of every other place go.
+A text is cut into pieces after stops (``.``, ``!``, ``?``, commas, colons, those of other scripts),
+line ends and words that end in one of two letters, at the latest after ``MOST_WORDS`` words; put
+together they are the text again. All cuts but the last kind follow from the words at the cut alone,
+so a passage has the same pieces wherever it is put in, from its first such cut to its last whole
+piece. Every run of pieces with ``LEAST`` words or more counts, by its words in lower case with
+single blanks. Of all places of a run, in the order of document and position, the first stays; the
+pieces of every other place go.
 
-Edge cases: null and empty texts have no sentence and stay as they are; equal rows (same id and
+Only runs that fall below ``LEAST`` words without their first or their last piece are hashed: any
+other is covered by shorter ones that are repeated with it, so the result is the same.
+
+Edge cases: null and empty texts have no piece and stay as they are; equal rows (same id and
 text) count as one document and share its result; a null id comes first in the order; rows with
 equal id and different texts are told apart by a hash of the text; a run repeated within a text
 counts as repeated. No input column is touched but the text, whatever its name.
@@ -13,84 +19,85 @@ counts as repeated. No input column is touched but the text, whatever its name.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Sentences of a run, and the least number of words it must have to count.
-RUNS = ((3, 12), (2, 25))
-#: The run that counts where the first kind has too few words: lists, single words.
-SHORT_RUN = (12, 12)
-SENTENCE = r"[^.!?\n]*[.!?\n]+[\s.!?]*|[^.!?\n]+$"
+#: The least words of a run. A piece has one at least, so no longer runs are needed.
+LEAST = 12
+#: Pieces of a run, and the least number of words it must have to count.
+RUNS = tuple((n, LEAST) for n in range(1, LEAST + 1))
+#: The run that counts where the first kind has too few words; two of the longest kind cover it.
+SHORT_RUN = (LEAST + 1, LEAST)
+#: Characters that end a piece, letters that end it as the last of a word, and its most words.
+STOPS = r".!?\n,;:…。！？，、；：।॥؟،؛۔"
+CUT_LETTERS = "nrNR"
+MOST_WORDS = 12
+_WORD = rf"[^{STOPS} \t]"
+SENTENCE = (
+    rf"(?:{_WORD}*[^{STOPS} \t{CUT_LETTERS}][ \t]+){{0,{MOST_WORDS - 1}}}"
+    rf"(?:{_WORD}*(?:[{STOPS}]+[{STOPS} \t\r\f]*|[ \t]+)|{_WORD}+$)"
+)
 
 
 def sentences(text: Column) -> Column:
-    """The sentences of a text with all that follows each; together they are the text."""
+    """The pieces of a text with all that follows each; together they are the text."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SENTENCE), F.lit(0))
 
 
-def _spans(docs: DataFrame, id_col: str, text: str, runs: tuple[tuple[int, int], ...]) -> DataFrame:
-    """``(id, mark, at, run, span)``: every run long enough, by the hash of its words."""
+def _pieces_needed(at: str, step: str) -> str:
+    """How many pieces from ``at`` on (``+``) or back (``-``) have the least words; null where the text ends."""
+    sums = (" + ".join(f"get(w, {at} {step} {k})" for k in range(n)) for n, _ in RUNS)
+    return "CASE " + " ".join(f"WHEN {total} >= {LEAST} THEN {n}" for n, total in enumerate(sums, 1)) + " END"
+
+
+def _spans(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """``(id, mark, spot, span)``: every run that none shorter make up, by the hash of its words;
+    ``spot`` is its first piece and, in the low 16 bits, its number of pieces."""
     parts = F.transform(
         sentences(F.col(text)), lambda s: F.trim(F.regexp_replace(F.lower(s), r"\s+", " "))
     )
-    hashed = F.transform(
-        parts, lambda s: F.struct(F.xxhash64(s).alias("h"), F.size(F.split(s, " ")).alias("n"))
-    )
-    read = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), hashed.alias("s"))
-
-    def words(run: int) -> str:
-        return " + ".join(f"s[i + {k}].n" for k in range(run))
-
-    def of(run: int, least: int, short: bool = False) -> Column:
-        hashes = ", ".join(f"s[i + {k}].h" for k in range(run))
-        counts = f"{words(run)} >= {least}"
-        if short:
-            counts += f" AND {words(runs[0][0])} < {runs[0][1]}"
-        every = f"""CASE WHEN size(s) >= {run} THEN filter(transform(sequence(0, size(s) - {run}), i ->
-            CASE WHEN {counts} THEN struct(i AS at, {run} AS run, xxhash64({run}, {hashes}) AS span) END),
-            e -> e IS NOT NULL) ELSE array() END"""
-        return F.expr(every)
-
-    found = [of(run, least) for run, least in runs]
-    if SHORT_RUN[0] > runs[0][0]:
-        found.append(of(*SHORT_RUN, short=True))
-    spans = reduce(F.concat, found)
-    return read.select("id", "mark", F.explode(spans).alias("e")).select(
-        "id", "mark", "e.at", "e.run", "e.span"
-    )
-
-
-def repeated_sentences(
-    docs: DataFrame, id_col: str = "doc_id", text: str = "text", runs: tuple[tuple[int, int], ...] = RUNS
-) -> DataFrame:
-    """``(id, mark, gone)``: the numbers of the sentences covered by a run that is not the first of
+    read = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), parts.alias("s"))
+    sized = read.select(
+        "id", "mark", F.transform("s", lambda s: F.xxhash64(s)).alias("h"),
+        F.transform("s", lambda s: F.size(F.split(s, " "))).alias("w"),
+    )
+    ends = sized.select(
+        "id", "mark", "h",
+        F.expr(f"transform(w, (x, i) -> {_pieces_needed('i', '+')})").alias("on"),
+        F.expr(f"transform(w, (x, i) -> {_pieces_needed('i', '-')})").alias("back"),
+    )
+    found = ends.select("id", "mark", "h", F.expr("""filter(concat(
+        transform(on, (n, i) -> bigint(i) * 65536 + n),
+        transform(back, (n, i) -> CASE WHEN get(on, i - n + 1) < n THEN bigint(i - n + 1) * 65536 + n END)),
+        e -> e IS NOT NULL)""").alias("spots"))
+    run = "slice(h, int(shiftright(spot, 16)) + 1, int(spot & 65535))"
+    # an inner explode makes Spark filter by the size of the array, all of it computed once more for each use
+    rows = found.select("id", "mark", "h", F.explode_outer("spots").alias("spot")).filter("spot IS NOT NULL")
+    return rows.select("id", "mark", "spot", F.expr(f"xxhash64({run})").alias("span"))
+
+
+def repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(id, mark, gone)``: the numbers of the pieces covered by a run that is not the first of
     its kind; ``mark`` is the hash of the text. Rows per document are as many as it has such runs,
-    and places of a common run are only ever counted or joined with its single first place."""
-    spans = _spans(docs, id_col, text, runs)
-    place = F.struct("id", "mark", "at")
-    firsts = (
-        spans.groupBy("span")
-        .agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
-        .filter("n > 1")
-        .select("span", "first")
-    )
-    later = spans.join(firsts, "span").filter(~place.eqNullSafe(F.col("first")))
+    and places of a common run are only ever put in order, in one exchange of all runs."""
+    spans = _spans(docs, id_col, text)
+    # equal rows share the first place, so they have its rank
+    place = F.rank().over(Window.partitionBy("span").orderBy("id", "mark", "spot"))
+    later = spans.withColumn("place", place).filter("place > 1")
+    covered = "transform(spots, e -> sequence(int(shiftright(e, 16)), int(shiftright(e, 16) + (e & 65535) - 1)))"
     return (
-        later.select("id", "mark", F.explode(F.sequence("at", F.col("at") + F.col("run") - 1)).alias("at"))
-        .groupBy("id", "mark")
-        .agg(F.sort_array(F.collect_set("at")).alias("gone"))
+        later.groupBy("id", "mark")
+        .agg(F.collect_set("spot").alias("spots"))
+        .select("id", "mark", F.sort_array(F.array_distinct(F.flatten(F.expr(covered)))).alias("gone"))
     )
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text: str = "text",
-    runs: tuple[tuple[int, int], ...] = RUNS, removed: str | None = None,
-) -> DataFrame:
-    """The documents with their texts without repeated sentences, in the columns they came with;
-    ``removed`` names a column for the numbers (from 0) of the sentences that went."""
-    gone = repeated_sentences(docs, id_col, text, runs)
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", removed: str | None = None
+) -> DataFrame:
+    """The documents with their texts without repeated pieces, in the columns they came with;
+    ``removed`` names a column for the numbers (from 0) of the pieces that went."""
+    gone = repeated_sentences(docs, id_col, text)
     gone = gone.select(*[F.col(c).alias(f"_span_{c}") for c in gone.columns])
     same = F.col(id_col).eqNullSafe(F.col("_span_id")) & (F.xxhash64(text) == F.col("_span_mark"))
     kept = F.filter(

@@ -1,6 +1,7 @@
 """Jaccard join, fingerprints and sentence spans against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -138,3 +139,34 @@ def test_spans_odd_rows(spark, odd_docs, no_docs):
 def test_sentences_are_the_text(spark, odd_docs):
     again = odd_docs.select(F.array_join(spans.sentences(F.col("text")), "").alias("again"), F.coalesce("text", F.lit("")).alias("text"))
     assert again.filter("again <> text").count() == 0
+
+
+def test_passages_at_random_places_go(spark):
+    """No run of 51 words stays twice, wherever in a sentence a passage of over 50 words is put."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("bdfgklmnprstvx") + rng.choice("aeiou") + rng.choice("nrstdel ") for _ in range(2)).strip() for _ in range(900)]
+
+    def text(n, stops):
+        return [w + rng.choice(stops) * (rng.random() < 0.12) for w in rng.choices(words, k=n)]
+
+    rows = []
+    for k in range(120):
+        stops = ([".", ",", "?"], ["."], ["。", "،"], [""])[k % 4]
+        passage = text(rng.randint(51, 80), stops)
+        for copy in range(2):
+            own = text(150, stops)
+            at = rng.randint(0, 150)
+            rows.append((2 * k + copy, " ".join(own[:at] + passage + own[at:])))
+    rows.append((500, "One long sentence of sixteen words without a comma that is in both of these texts here."))
+    rows.append((501, "Other. One long sentence of sixteen words without a comma that is in both of these texts here."))
+    # three sentences of twelve words, which commas cut further
+    rows.append((502, "Alpha, beta, gamma delta. Eta, theta, iota kappa. My, nu, xi pi. Tail of one."))
+    rows.append((503, "Other. Alpha, beta, gamma delta. Eta, theta, iota kappa. My, nu, xi pi. End of two."))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = dict(map(tuple, spans.remove_repeats(docs).select("doc_id", "text").collect()))
+    assert sorted(found.items()) == sorted((i, t) for i, t, _ in cut_repeats(rows))
+    for k in range(120):
+        a, b = (found[2 * k + copy].split() for copy in range(2))
+        long = {tuple(a[i : i + 51]) for i in range(len(a) - 50)}
+        assert not any(tuple(b[i : i + 51]) in long for i in range(len(b) - 50)), k
+    assert found[501] == "Other. " and found[503] == "Other. End of two."
