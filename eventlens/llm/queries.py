@@ -60,18 +60,14 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     the turn of the assistant after it is its result."""
     turns = table(spark, sf_dir, "conversations")
     n = F.length("text")
-    head = F.substring("text", 1, 40)
 
     def name(turn) -> F.Column:
         return F.concat(F.lit("call-"), F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string"))
 
-    def quoted(col) -> F.Column:
-        return F.to_json(F.to_variant_object(F.struct(col.alias("x"))))
-
     tool = F.when(n % 3 == 0, "search").when(n % 3 == 1, "translate").when(n % 3 == 2, "summarise")
     # the keys come in no order and with blanks, as models write them
     arguments = (
-        F.when(n % 3 == 0, F.concat(F.lit('{"query": '), F.substring(quoted(head), 6, 400)))
+        F.when(n % 3 == 0, F.concat(F.lit('{"query": '), F.expr("substring(to_json(to_variant_object(struct(text AS x))), 6)")))
         .when(n % 3 == 1, F.concat(F.lit('{ "to":"de", "text" : '), F.expr("substring(to_json(to_variant_object(struct(text AS x))), 6)")))
         .otherwise(F.concat(F.lit('{"text": '), F.expr("substring(to_json(to_variant_object(struct(text AS x))), 6)")))
     )

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from eventlens.llm import chat, licences, neighbours
+from eventlens.llm import chat, licences, neighbours, queries
 from eventlens.llm.licences import PHRASES, Scanner, compile_template
 
 
@@ -213,3 +213,13 @@ def test_canonical_json(spark):
     assert json.loads(got[0]) == json.loads(values[0])
     assert got[0] == json.dumps(json.loads(values[0]), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
     assert got[1:] == [None, None, '"x"', "12", None]
+
+
+def test_chat_query_keeps_whole_texts(spark, tmp_path):
+    texts = ["a short turn" * 2, "a long turn with \"quotes\" and more than forty" + " letters" * 3]
+    texts = [t + "." * (-len(t) % 3) for t in texts]
+    rows = [(c, turn, role, t) for c, t in enumerate(texts) for turn, role in enumerate(("user", "assistant"))]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = sorted(queries.op1_chat(spark, str(tmp_path)).collect(), key=lambda r: r["conv_id"])
+    assert [json.loads(r["arguments"])["query"] for r in found] == texts
+    assert ["query: length" in r["errors"] for r in found] == [False, True]
