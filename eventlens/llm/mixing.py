@@ -1,8 +1,11 @@
 """Mixing sources: temperature weights, and a schedule of permuted blocks that realises them.
 
 A source with share ``p`` of all tokens gets the weight ``p^a / sum p^a``. The exponent ``a`` is
-bisected: the flattest mixture (smallest ``a`` in 0..1) whose entropy is at most the target and
-which repeats no source more often than allowed. A source's budget is its weight times the total
+bisected: the flattest mixture (smallest ``a`` from 0 on) whose entropy is at most the target and
+which repeats no source more often than allowed. The upper end is 1, the natural mixture, and is
+doubled while the entropy is above the target. Where no exponent keeps both limits (equal shares
+have one mixture only), the limit of repeats is kept as far as it can be, the mixture says
+``met=False``, and a warning is given. A source's budget is its weight times the total
 budget. It is spent in passes over the source, each in an order of its own; the last pass ends with
 the document that reaches the budget. The schedule is cut into blocks that hold every source at
 its weight, and each block is permuted.
@@ -19,6 +22,8 @@ exponent is 0 and the weight 1. Input columns pass through; own columns start wi
 from __future__ import annotations
 
 import math
+import warnings
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,18 +32,22 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 GRID, ROUNDS = 32, 6
+#: Exponents are doubled up to here; sources that no such power tells apart count as equal.
+MOST_EXPONENT = 2.0**20
 BUCKET_ROWS = 4096
 BLOCK_TOKENS = 1 << 20
 
 
 @dataclass(frozen=True)
 class Mixture:
-    """``weights``: ``(source, tokens, rows, weight, budget, repeats)``; ``total``: the budget."""
+    """``weights``: ``(source, tokens, rows, weight, budget, repeats)``; ``total``: the budget;
+    ``met``: whether the limits are kept."""
 
     exponent: float
     entropy: float
     total: float
     weights: DataFrame
+    met: bool = True
 
 
 def token_count(text: Column | str) -> Column:
@@ -50,19 +59,32 @@ def token_count(text: Column | str) -> Column:
 def _at(shares: DataFrame, exponents: list[float], full_pass: bool, epochs: float) -> list[dict]:
     """Entropy, and repeats of the most repeated source, at each exponent."""
     tried = shares.withColumn("a", F.explode(F.array(*[F.lit(a) for a in exponents])))
-    power = F.pow("share", "a")
+    power = F.pow("part", "a")
     z = F.sum(power)
-    entropy = F.log(z) - F.sum(power * F.col("a") * F.log("share")) / z
+    entropy = F.log(z) - F.sum(power * F.col("a") * F.log("part")) / z
     most = F.max(power / F.col("share"))
     least = F.min(power / F.col("share"))
-    repeats = most / least if full_pass else F.lit(epochs) * most / z
-    scale = 1 / least if full_pass else F.lit(epochs) / z
+    repeats = F.try_divide(most, least) if full_pass else F.lit(epochs) * most / z
+    scale = F.try_divide(F.lit(1.0), least) if full_pass else F.lit(epochs) / z
     rows = tried.groupBy("a").agg(
         entropy.alias("entropy"), repeats.alias("repeats"), z.alias("z"), (scale * z).alias("epochs")
     )
     return sorted((r.asDict() for r in rows.collect()), key=lambda r: r["a"])
 
 
+def _first(at: Callable[[list[float]], list[dict]], low: float, high: float, good: Callable[[dict], bool]) -> tuple[dict, dict]:
+    """The smallest exponent of ``low..high`` that is good, as ``high`` is, and the one before it."""
+    for _ in range(ROUNDS):
+        step = (high - low) / GRID
+        tried = at([low + i * step for i in range(GRID)] + [high])
+        first = next(i for i, r in enumerate(tried) if i == GRID or good(r))
+        before = tried[max(first - 1, 0)]
+        if first == 0:
+            break
+        low, high = before["a"], tried[first]["a"]
+    return before, tried[first]
+
+
 def mixture(
     docs: DataFrame, source: str = "source", tokens: str = "mix_tokens",
     target_entropy: float | None = None, max_repeats: float = 4.0, epochs: float = 1.0,
@@ -79,32 +101,52 @@ def mixture(
         .agg(F.sum(tokens).alias("tokens"), F.count(F.lit(1)).alias("rows")),
         "mixing-sources",
     )
-    facts = sums.agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).first()
+    facts = sums.agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"), F.max("tokens").alias("most")).first()
     total, n = facts["t"] or 0, facts["n"]
-    shares = sums.withColumn("share", F.col("tokens") / F.lit(float(max(total, 1))))
+    share = F.col("tokens") / F.lit(float(max(total, 1)))
+    # powers of parts of the largest source stay in range however large the exponent is
+    part = F.col("tokens") / F.lit(float(max(facts["most"] or 0, 1)))
+    shares = sums.withColumn("share", share).withColumn("part", part)
     limit = math.inf if target_entropy is None or n < 2 else target_entropy * math.log(n)
 
-    def allowed(r: dict) -> bool:
-        return r["entropy"] <= limit + 1e-12 and r["repeats"] <= max_repeats + 1e-12
-
-    low, high = 0.0, 1.0
-    found = {"a": 0.0, "entropy": 0.0, "z": 1.0, "epochs": epochs}
-    for _ in range(ROUNDS if total else 0):
-        step = (high - low) / GRID
-        tried = _at(shares, [low + i * step for i in range(GRID + 1)], full_pass, epochs)
-        good = [i for i, r in enumerate(tried) if allowed(r)]
-        first = good[0] if good else GRID
-        found = tried[first]
-        if first == 0 or not good:
-            break
-        low, high = tried[first - 1]["a"], tried[first]["a"]
-    weight = F.pow("share", F.lit(found["a"])) / F.lit(found["z"])
+    def at(exponents: list[float]) -> list[dict]:
+        return _at(shares, exponents, full_pass, epochs)
+
+    def low_enough(r: dict) -> bool:
+        return r["entropy"] <= limit + 1e-12
+
+    def seldom(r: dict) -> bool:
+        return r["repeats"] is not None and r["repeats"] <= max_repeats + 1e-12
+
+    met, found = True, {"a": 0.0, "entropy": 0.0, "z": 1.0, "epochs": epochs}
+    if total:
+        # up to 1 both the entropy and the repeats fall; above, the repeats rise again
+        low, (found,) = 0.0, at([1.0])
+        natural = found
+        while not low_enough(found) and found["a"] < MOST_EXPONENT:
+            low, (found,) = found["a"], at([2 * found["a"]])
+        met = low_enough(found) and seldom(natural)
+        if not met:
+            found = natural
+        elif found["a"] == 1:
+            found = _first(at, low, 1.0, lambda r: low_enough(r) and seldom(r))[1]
+        else:
+            found = _first(at, low, found["a"], low_enough)[1]
+            met = seldom(found)
+            if not met:
+                found = _first(at, 1.0, found["a"], lambda r: not seldom(r))[0]
+        if not met:
+            warnings.warn(
+                f"no exponent keeps an entropy of at most {limit} and at most {max_repeats} repeats; "
+                f"taken: {found['a']} with {found['entropy']} and {found['repeats']}", stacklevel=2,
+            )
+    weight = F.pow("part", F.lit(found["a"])) / F.lit(found["z"])
     # so that a whole number of passes is not missed by a rounding error
     budget = F.round(F.col("weight") * F.lit(found["epochs"] * total), 3)
     weights = shares.withColumn("weight", weight).withColumn("budget", budget).select(
         "source", "tokens", "rows", "weight", "budget", (F.col("budget") / F.col("tokens")).alias("repeats")
     )
-    return Mixture(found["a"], found["entropy"], found["epochs"] * total, weights)
+    return Mixture(found["a"], found["entropy"], found["epochs"] * total, weights, met)
 
 
 def schedule(
@@ -117,7 +159,8 @@ def schedule(
     interchangeable."""
     named = mixed.weights.select(*[F.col(c).alias(f"mix_{c}") for c in ("source", "rows", "tokens", "weight", "budget")])
     named = named.withColumnRenamed("mix_tokens", "mix_size")
-    passes = F.ceil(F.col("mix_budget") / F.col("mix_size")).cast("int")
+    # a budget that rounds to nothing is spent by no row of the first pass
+    passes = F.greatest(F.ceil(F.col("mix_budget") / F.col("mix_size")).cast("int"), F.lit(1))
     key = F.xxhash64(F.lit(seed), "mix_pass", *id_cols)
     buckets = F.ceil(F.col("mix_rows") / BUCKET_ROWS).cast("bigint")
     # the order in a pass is that of ``mix_key``; a bucket is a range of keys

@@ -156,3 +156,21 @@ def test_gumbel_numbers(spark):
     values = np.array([r[0] for r in spark.range(20_000).select(importance.gumbel(3, "id")).collect()])
     assert abs(values.mean() - 0.5772) < 0.04
     assert abs(values.var() - math.pi**2 / 6) < 0.08
+
+
+def test_entropy_of_nearly_equal_sources(spark):
+    """A mixture less flat than the natural one needs an exponent above 1."""
+    rows = [(i, f"s{i % 20}", 100 + i % 20) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, mix_tokens long")
+    mixed = mixing.mixture(docs, target_entropy=0.95)
+    weights = [r["weight"] for r in mixed.weights.collect()]
+    entropy = -sum(w * math.log(w) for w in weights if w)
+    assert mixed.met and mixed.exponent > 1 and abs(sum(weights) - 1) < 1e-9
+    assert abs(entropy / math.log(20) - 0.95) < 1e-4
+    assert mixing.schedule(docs, mixed).count() > 0
+    with pytest.warns(UserWarning, match="no exponent"):  # 1.5 repeats leave it flatter than asked
+        near = mixing.mixture(docs, target_entropy=0.9, max_repeats=1.5)
+    assert not near.met and 1.4 < max(r["repeats"] for r in near.weights.collect()) <= 1.5 + 1e-6
+    with pytest.warns(UserWarning, match="no exponent"):
+        equal = mixing.mixture(docs.withColumn("mix_tokens", F.lit(7)), target_entropy=0.95)
+    assert not equal.met and equal.exponent == 1
