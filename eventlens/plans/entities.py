@@ -95,14 +95,14 @@ SELECT id, n, 'first' AS origin FROM counted WHERE lang = 'fr'
 UNION ALL SELECT id, n, 'again' FROM counted WHERE lang = 'en'
 """)
 def _annotation_upsert(spark, sf):
-    """French texts are stored first; then French and English ones arrive twice, in two versions."""
+    """French texts are stored first; then those of every language arrive twice, in two versions."""
     langs = inputs.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang")
     all_rows = inputs.stored(_annotated(spark, sf).join(langs, "id"))
     path = new_path(spark, "annotations")
     first = all_rows.filter("lang = 'fr'").select("id", "annotations", F.lit("first").alias("origin"))
     store.insert_annotations(first.withColumn("seq", F.col("origin")), path, "seq")
     versions = F.explode(F.array(F.lit("again"), F.lit("later"))).alias("origin")
-    batch = all_rows.filter("lang IN ('fr', 'en')").select("id", "annotations", versions)
+    batch = all_rows.select("id", "annotations", versions)
     store.insert_annotations(batch.withColumn("seq", F.col("origin")), path, "seq")
     return spark.read.parquet(path).select("id", F.size("annotations").cast("bigint").alias("n"), "origin")
 

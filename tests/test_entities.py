@@ -110,3 +110,12 @@ def test_queries_and_sql_go_together():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert "event_clusters" in entry.queries() and len(entry.queries()) > 100
+
+
+def test_upsert_query_stores_every_language(spark):
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.001"
+    langs = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
+    found = {r["id"]: r["origin"] for r in entry.queries()["annotation_upsert"](spark, sf).collect()}
+    assert found == {i: "first" if lang == "fr" else "again" for i, lang in langs.items()}
