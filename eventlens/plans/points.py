@@ -128,9 +128,7 @@ def _cluster_report(spark, sf):
 || CAST(coalesce(cluster, -2) AS VARCHAR) AS value FROM pts LEFT JOIN labels USING (id)
 """)
 def _cluster_csv(spark, sf):
-    labelled = _clustered(spark, sf).points.join(inputs.points(spark, sf), "id").select(
-        F.floor("x").cast("double").alias("x"), F.floor("y").cast("double").alias("y"), "cluster"
-    )
+    labelled = _clustered(spark, sf).points.join(inputs.points(spark, sf), "id").select("x", "y", "cluster")
     path = new_path(spark, "cluster-lines")
     store.cluster_lines(labelled).write.text(path)
     return spark.read.text(path)

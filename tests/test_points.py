@@ -114,3 +114,13 @@ def test_components(spark, heavy_rows):
 def test_no_edges(spark):
     df = spark.createDataFrame([], "src bigint, dst bigint")
     assert connected_components(df).count() == 0
+
+
+def test_cluster_lines_hold_the_points_as_they_are(spark):
+    import __spark_entry__ as entry
+    from eventlens.plans import inputs
+
+    sf = "/root/testdata/sf0.001"
+    lines = [r["value"].split(",") for r in entry.queries()["cluster_csv"](spark, sf).collect()]
+    want = sorted((r["x"], r["y"]) for r in inputs.points(spark, sf).collect())
+    assert sorted((float(x), float(y)) for x, y, _ in lines) == want
