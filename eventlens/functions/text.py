@@ -101,6 +101,19 @@ def tokenize(text: Column, stem: str = "s", stop: list[str] | None = None) -> Co
     return F.transform(kept, stem_plural) if stem == "s" else kept
 
 
+def stem_by_table(df: DataFrame, id_col: str, tokens: str, stems: DataFrame) -> DataFrame:
+    """``(id, tokens)`` with each token's stem by a table ``(surface, stem)``, in order and with
+    copies; tokens the table lacks stay, null tokens are an empty array. Of several stems of a
+    surface the smallest counts. Ids are unique; use it on ``tokenize(..., stem='none')``."""
+    rows = df.select(F.col(id_col).alias("id"), F.posexplode_outer(tokens).alias("pos", "token"))
+    distinct = rows.filter("token IS NOT NULL").select("token").distinct()
+    table = stems.groupBy(F.col("surface").alias("token")).agg(F.min("stem").alias("stem"))
+    found = rows.join(distinct.join(table, "token"), "token", "left")
+    word = F.struct("pos", F.coalesce("stem", "token").alias("token"))
+    words = F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), word)))
+    return found.groupBy("id").agg(words["token"].alias("tokens"))
+
+
 def boosted_text(text: Column, split_tags: Column, tags: Column) -> Column:
     """Text followed by its hashtags, so that their terms count once more."""
     return F.concat(

@@ -227,3 +227,11 @@ def test_row_numbers(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"), F.lit(1).alias("same"))
     got = series.number_rows(df, [F.col("same"), F.col("v")])
     assert got.filter("number <> v").count() == 0 and got.count() == 1000
+
+
+def test_stem_by_table(spark):
+    rows = [(1, ["running", "ran", "running", "cat"]), (2, []), (3, None), (None, ["ran", None])]
+    docs = spark.createDataFrame(rows, "doc long, words array<string>")
+    stems = spark.createDataFrame([("running", "run"), ("ran", "run"), ("ran", "rune"), ("dog", "d")], "surface string, stem string")
+    found = {r["id"]: r["tokens"] for r in X.stem_by_table(docs, "doc", "words", stems).collect()}
+    assert found == {1: ["run", "run", "run", "cat"], 2: [], 3: [], None: ["run", None]}
