@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    chat, fingerprints, importance, jaccard, licences, mixing, neighbours, packing, spans, toxicity,
+    chat, fingerprints, importance, jaccard, licences, mixing, neighbours, packing, runs, spans, toxicity,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,12 +23,13 @@ def query(function: Callable[[SparkSession, str], DataFrame]):
     return function
 
 
-#: Rows that go to Python at once: texts are long, and a batch is in memory several times over.
-BATCH_ROWS = 1000
+#: What goes to Python at once: texts are long, and a batch is in memory several times over.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -274,3 +275,68 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_chars", "edited_sha256", F.lower(F.hex("fingerprint")).alias("fingerprint"),
         F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next",
     )
+
+
+def crc32_sql(column: str) -> str:
+    """The unsigned crc32 of a number's decimal digits, bit by bit."""
+    return f"""xor(4294967295::BIGINT, list_reduce(list_transform(string_split({column}::VARCHAR, ''), lambda d: ascii(d)::BIGINT),
+        lambda c, b: list_reduce(range(8), lambda r, k: xor(r >> 1, (r & 1) * 3988292384), xor(c, b)), 4294967295::BIGINT))"""
+
+
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _repeated_tails(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text)``: in the texts whose id's checksum 10 divides, the words from some place on are
+    its first few ones again and again."""
+    digits = F.crc32(F.col("doc_id").cast("string"))
+    words = docs.select(
+        "doc_id", "text", F.floor(digits / 10).alias("g"),
+        F.when(digits % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("w"),
+    )
+    at = words.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    sized = at.withColumn("p", F.expr("int(1 + floor((n - a) / (3 + g % 8)))"))
+    again = F.expr("transform(w, (x, i) -> CASE WHEN i < a THEN x ELSE element_at(w, int(a + (i - a) % p) + 1) END)")
+    return sized.select("doc_id", F.when(F.col("n") > 0, F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of runs of each document, the one with most periods, and digests of all runs and of what is left."""
+    docs = _repeated_tails(table(spark, sf_dir, "documents"))
+    found = docs.select("doc_id", runs.collapse("text").alias("found")).select("doc_id", "found.*")
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    # of equal exponents the first stays, as runs are in order
+    best = F.expr("""aggregate(slice(runs, 2, greatest(size(runs), 1)), get(runs, 0), (best, r) ->
+        CASE WHEN r.length * best.period > best.length * r.period THEN r ELSE best END)""")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length DIV best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+#: Runs by equal windows of 16 words: words ``q`` apart agree on a stretch of at least 16, that is on
+#: consecutive windows; of the periods of one stretch the smallest counts.
+ORACLES["op13_periodic_runs"] = rf"""
+WITH given AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS o, {crc32_sql("doc_id")} AS h FROM documents),
+placed AS (SELECT *, len(o) AS n, h // 10 AS g, CASE WHEN len(o) > 0 THEN (h // 10) % len(o) END AS a FROM given),
+sized AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM placed),
+texts AS (SELECT doc_id, CASE WHEN h % 10 = 0 AND n > 0
+    THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN o[i + 1] ELSE o[a + (i - a) % p + 1] END) ELSE o END AS w FROM sized),
+windows AS (SELECT doc_id, i, hash(w[i + 1:i + 16]) AS win FROM (SELECT doc_id, w, unnest(range(0, len(w) - 15)) AS i FROM texts)),
+same AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM windows x JOIN windows y ON x.doc_id = y.doc_id AND x.win = y.win AND x.i < y.i),
+islands AS (SELECT doc_id, q, min(i) AS s, max(i) - min(i) + 16 + q AS m
+    FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS part FROM same) GROUP BY doc_id, q, part),
+runs AS (SELECT doc_id, s, m, min(q) AS q FROM islands WHERE m >= 24 AND m >= 3 * q GROUP BY doc_id, s, m),
+told AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || m || ',' || q || chr(10), '' ORDER BY s, q) AS lines,
+    arg_min({{'s': s, 'm': m, 'q': q}}, {{'e': -(m::DOUBLE / q), 's': s, 'q': q}}) AS best,
+    list_distinct(flatten(list(range(s + q, s + m)))) AS gone FROM runs GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(w[i + 1], ' ' ORDER BY i) AS rest FROM (
+    SELECT doc_id, w, gone, unnest(range(0, len(w))) AS i FROM texts LEFT JOIN told USING (doc_id))
+    WHERE gone IS NULL OR NOT list_contains(gone, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.m AS length, best.q AS period,
+    1000 * best.m // best.q AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(rest, '')) AS collapsed_sha256
+FROM texts LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
