@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from eventlens.llm import queries, runs
@@ -13,16 +14,14 @@ from .conftest import prose
 
 def brute(words, least=24, power=3):
     """Every stretch in which words ``q`` apart are equal; of one stretch the smallest period."""
-    n, best = len(words), {}
-    for q in range(1, n // power + 1):
-        i = 0
-        while i < n - q:
-            j = i
-            while j < n - q and words[j] == words[j + q]:
-                j += 1
-            if j > i and j - i + q >= max(least, power * q):
-                best.setdefault((i, j - i + q), q)
-            i = j + 1
+    known, best = {}, {}
+    numbers = np.array([known.setdefault(w, len(known)) for w in words], np.int64)
+    for q in range(1, len(words) // power + 1):
+        same = np.concatenate([[False], numbers[q:] == numbers[:-q], [False]])
+        turns = np.flatnonzero(same[1:] != same[:-1]).tolist()
+        for s, e in zip(turns[::2], turns[1::2], strict=True):
+            if e - s + q >= max(least, power * q):
+                best.setdefault((s, e - s + q), q)
     return sorted(((s, m, q) for (s, m), q in best.items()), key=lambda r: (r[0], r[2]))
 
 
@@ -56,7 +55,7 @@ def test_agreement_of_suffixes():
         assert tree.rank.tolist() == [sorted(range(len(s)), key=lambda i: s[i:]).index(i) for i in range(len(s))]
         pairs = [(a, b) for a in range(len(s)) for b in range(len(s)) if a != b]
         want = [next(k for k in range(len(s)) if s[a + k] != s[b + k]) for a, b in pairs]
-        a, b = (runs.np.array(x) for x in zip(*pairs, strict=True))
+        a, b = (np.array(x) for x in zip(*pairs, strict=True))
         assert tree.agree(a, b).tolist() == want
 
 
