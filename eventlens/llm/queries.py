@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    chat, fingerprints, importance, jaccard, licences, mixing, neighbours, packing, runs, spans, toxicity,
+    chat, fingerprints, importance, jaccard, licences, merkle, mixing, neighbours, packing, runs, spans, toxicity,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -283,6 +284,69 @@ def crc32_sql(column: str) -> str:
         lambda c, b: list_reduce(range(8), lambda r, k: xor(r >> 1, (r & 1) * 3988292384), xor(c, b)), 4294967295::BIGINT))"""
 
 
+#: The fields of a leaf of the manifest.
+LEAF_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def lower_ascii(text: str) -> F.Column:
+    return F.translate(F.col(text), string.ascii_uppercase, string.ascii_lowercase)
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in the hash trees of its language, and whether its text still leads to the root."""
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, merkle.digest(merkle.encoded(*LEAF_FIELDS[:4], lower_ascii("text"))))
+    leaves = merkle.stored_leaves(docs, merkle.digest(merkle.encoded(*LEAF_FIELDS)), "doc_id", "lang", F.unhex(tampered).alias("tampered"))
+    found = merkle.manifest(leaves, "lang", "doc_id", "leaf")
+    now = F.coalesce(F.lower(F.hex("item.tampered")), F.col("leaf"))
+    folded = found.withColumn("folded_root", merkle.fold(now, "witness"))
+    return folded.select(
+        "item.doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings("witness"), 256).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def _encoded_sql(text: str) -> str:
+    fields = [*LEAF_FIELDS[:4], text]
+    return " || ".join(f"CASE WHEN {f} IS NULL THEN '-' ELSE octet_length(encode({f}::VARCHAR)) || ':' || {f} END" for f in fields)
+
+
+ORACLES["op12_merkle_manifest"] = f"""
+WITH RECURSIVE leaves AS (SELECT doc_id, lang, sha256({_encoded_sql("text")}) AS leaf,
+    CASE WHEN {crc32_sql("doc_id")} % 3 = 0
+        THEN sha256({_encoded_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) END AS tampered FROM documents),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+    count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+trees AS (SELECT lang, 0 AS level, idx, n, leaf AS h FROM numbered
+    UNION ALL SELECT lang, level + 1, idx // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY idx))
+    FROM trees WHERE n > 1 GROUP BY lang, level, idx // 8, n),
+subroots AS (SELECT lang, level AS top, h, row_number() OVER (ORDER BY lang COLLATE "binary" NULLS FIRST) - 1 AS idx, count(*) OVER () AS n
+    FROM trees WHERE n = 1),
+upper_tree AS (SELECT 0 AS level, idx, n, h FROM subroots
+    UNION ALL SELECT level + 1, idx // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY idx)) FROM upper_tree WHERE n > 1 GROUP BY level, idx // 8, n),
+nodes AS (SELECT t.lang, t.level, t.idx, t.h FROM trees t WHERE t.n > 1
+    UNION ALL SELECT s.lang, s.top + u.level, u.idx, u.h FROM subroots s, upper_tree u WHERE u.n > 1),
+places AS (SELECT l.doc_id, l.lang, l.idx AS row_idx, l.leaf, l.tampered, k AS level,
+    CASE WHEN k < s.top THEN l.idx // (8 ** k)::BIGINT ELSE s.idx // (8 ** (k - s.top))::BIGINT END AS at
+    FROM numbered l JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang, (SELECT max(level) AS deepest FROM nodes) d, range(0, d.deepest + 1) r(k)),
+runs AS (SELECT p.lang, p.row_idx, p.level,
+    coalesce(string_agg(o.h, '' ORDER BY o.idx) FILTER (WHERE o.idx < p.at), '') AS l,
+    coalesce(string_agg(o.h, '' ORDER BY o.idx) FILTER (WHERE o.idx > p.at), '') AS r
+    FROM places p JOIN nodes o ON o.lang IS NOT DISTINCT FROM p.lang AND o.level = p.level AND o.idx // 8 = p.at // 8
+    GROUP BY p.lang, p.row_idx, p.level),
+proofs AS (SELECT lang, row_idx, sha256(string_agg(l || r, '' ORDER BY level)) AS proof, list({{'l': l, 'r': r}} ORDER BY level) AS steps
+    FROM runs GROUP BY lang, row_idx),
+told AS (SELECT n.doc_id, n.leaf, s.h AS subroot, (SELECT h FROM upper_tree WHERE n = 1) AS root,
+    coalesce(p.proof, sha256('')) AS proof_sha256, coalesce(n.tampered, n.leaf) AS now, p.steps
+    FROM numbered n JOIN subroots s ON s.lang IS NOT DISTINCT FROM n.lang
+    LEFT JOIN proofs p ON p.lang IS NOT DISTINCT FROM n.lang AND p.row_idx = n.idx),
+folded AS (SELECT *, list_reduce(list_transform(coalesce(steps, []), lambda s: s.l || '.' || s.r),
+    lambda h, s: sha256(replace(s, '.', h)), now) AS folded_root FROM told)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
+
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
