@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    chat, fingerprints, importance, jaccard, licences, merkle, mixing, neighbours, packing, runs, spans, toxicity,
+    chat, fingerprints, importance, jaccard, licences, merkle, mixing, neighbours, packing, runs, scoring, spans, toxicity,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -284,6 +284,16 @@ def crc32_sql(column: str) -> str:
         lambda c, b: list_reduce(range(8), lambda r, k: xor(r >> 1, (r & 1) * 3988292384), xor(c, b)), 4294967295::BIGINT))"""
 
 
+@query
+def op11_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log probability of every document under a model learnt from four fifths of them."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
+    scored = scoring.score(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select(
+        F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 #: The fields of a leaf of the manifest.
 LEAF_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
