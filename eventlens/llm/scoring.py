@@ -21,8 +21,8 @@ Memory of a task: a block with its n-grams, or a range of some ``RANGE_GRAMS`` n
 block that shares its commonest. All steps are tables in the shared folder.
 
 Edge cases: a null or empty text is the end alone; without training texts there is one, unknown, token
-with probability 1; null ids and equal rows are scored each; an empty table gives no row. N-grams are told
-apart by 64-bit hashes.
+with probability 1; null ids and equal rows are scored each; an empty table gives no row. Words are told
+apart by 64-bit hashes, longer n-grams by 56 bits.
 """
 
 from __future__ import annotations
@@ -51,6 +51,8 @@ LANE = 512
 _U = np.uint64
 #: Hashes of the place before a text and of its end.
 _START, _END = _U(0x5851F42D4C957F2D), _U(0x14057B7EF767814F)
+#: Bits by which n-grams of two tokens and more are told apart: of ten billion some 700 share theirs.
+_LONG = _U(0xFFFFFFFFFFFFFF00)
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -108,7 +110,8 @@ def grams_of(tokens: np.ndarray, sizes: np.ndarray, order: int) -> list[Grams]:
                 before[begin] = _START
             hashed = mix(before * _U(2 * n - 1) + tokens)
         some = np.flatnonzero(place >= n - 2)
-        hashes, first, back = np.unique(hashed[some], return_index=True, return_inverse=True)
+        known_by = hashed[some] & _LONG if n > 1 else hashed[some]
+        hashes, first, back = np.unique(known_by, return_index=True, return_inverse=True)
         at = np.full(len(tokens), -1, np.int64)
         at[some] = back
         first = some[first]
@@ -131,8 +134,7 @@ class Automaton:
         self.counts = [c.astype(np.float64) for c in counts]
         self.n, self.v = n, v
         self.known = [c > 0 for c in self.counts]
-        smoothed = self._smoothed(0)
-        self.arcs = [np.log10(p) for p in smoothed]
+        self.arcs = [np.log10(p, out=p) for p in self._smoothed(0)]
         totals = [self._contexts(m) for m in range(1, self.order)]
         self.failures = [np.log10(self.k / (t[:, None] + self.k)) for t in totals]
 
@@ -160,7 +162,7 @@ class Automaton:
         for m, p in enumerate(self._smoothed(1)):
             longest = self.grams[m + 1].at < 0 if m + 1 < self.order else np.ones(len(train), bool)
             own = self.grams[m].counts(train & longest)
-            total += own[own > 0] @ np.log10(p[own > 0])
+            total += own @ np.log10(p, out=p)
         return total
 
     def read(self, sizes: np.ndarray) -> np.ndarray:
