@@ -91,8 +91,7 @@ def _annotate_collection(spark, sf):
 @query("annotation_upsert", f"""
 {ANNOTATED}, found AS (SELECT id, count(*) AS n FROM annotations GROUP BY id),
 counted AS (SELECT doc_id AS id, coalesce(n, 0) AS n, lang FROM documents LEFT JOIN found ON doc_id = id)
-SELECT id, n, 'first' AS origin FROM counted WHERE lang = 'fr'
-UNION ALL SELECT id, n, 'again' FROM counted WHERE lang = 'en'
+SELECT id, n, CASE WHEN lang = 'fr' THEN 'first' ELSE 'again' END AS origin FROM counted
 """)
 def _annotation_upsert(spark, sf):
     """French texts are stored first; then those of every language arrive twice, in two versions."""

@@ -124,14 +124,14 @@ def _cluster_report(spark, sf):
 
 
 @query("cluster_csv", f"""
-{NEIGHBORS} SELECT CAST(floor(x) AS VARCHAR) || ',' || CAST(floor(y) AS VARCHAR) || ','
-|| CAST(coalesce(cluster, -2) AS VARCHAR) AS value FROM pts LEFT JOIN labels USING (id)
+{NEIGHBORS} SELECT x, y, coalesce(cluster, -2) AS cluster FROM pts LEFT JOIN labels USING (id)
 """)
 def _cluster_csv(spark, sf):
+    """The lines as they are read again: engines write doubles differently, so numbers are compared."""
     labelled = _clustered(spark, sf).points.join(inputs.points(spark, sf), "id").select("x", "y", "cluster")
     path = new_path(spark, "cluster-lines")
     store.cluster_lines(labelled).write.text(path)
-    return spark.read.text(path)
+    return spark.read.schema("x double, y double, cluster long").csv(path)
 
 
 @query("cluster_count", f"{NEIGHBORS} SELECT count(DISTINCT cluster) AS clusters, count(*) AS members FROM labels")
