@@ -22,7 +22,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score stays below the limit."""
+    """Documents whose score stays below the limit; null and empty texts are scored too."""
     model = toxicity.train(docs, queries.table(spark, sf_dir, "labels"))
     return docs.filter(toxicity.score("text", model) < queries.REJECT)
 
@@ -34,26 +34,34 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     name = F.struct("doc_id", F.xxhash64("text").alias("mark"))
     rows = jaccard.near_duplicates(docs.select(name.alias("name"), "text"), id_col="name")
     first = rows.filter(F.col("id").eqNullSafe(F.col("component"))).select("id.doc_id", "id.mark").distinct()
-    first = first.select(F.col("doc_id").alias("_first_id"), F.col("mark").alias("_first_mark"))
-    same = F.col("doc_id").eqNullSafe(F.col("_first_id")) & (F.xxhash64("text") == F.col("_first_mark"))
+    own, mark = spans.fresh(docs.columns, "_first_id"), spans.fresh(docs.columns, "_first_mark")
+    first = first.select(F.col("doc_id").alias(own), F.col("mark").alias(mark))
+    same = F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(mark))
     return docs.join(first, same, "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the sentences of passages that occur before; a document that has nothing
-    else goes."""
-    left = spans.remove_repeats(docs, removed="_removed")
-    emptied = (F.size("_removed") > 0) & (F.length(F.trim("text")) == 0)
-    return left.filter(~emptied).withColumn("n_chars", F.when(F.size("_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).drop("_removed")
+    else goes. ``n_chars`` follows a text that changes."""
+    removed = spans.fresh(docs.columns, "_removed")
+    left = spans.remove_repeats(docs, removed=removed)
+    changed = F.size(removed) > 0
+    sized = F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return left.filter(~(changed & (F.length(F.trim("text")) == 0))).withColumn("n_chars", sized).drop(removed)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in permuted blocks that hold the sources at their weights. Small sources are
-    repeated, none is cut."""
-    counted = docs.withColumn("mix_tokens", mixing.token_count("text")).withColumn("mix_mark", F.xxhash64("text"))
+    repeated, none is cut; null is a source like any other, a null or empty text has the tokens that
+    ``token_count`` gives it, equal rows are interchangeable."""
+    # all columns travel in one, so that their names cannot clash with the plan's
+    counted = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source",
+        mixing.token_count("text").alias("mix_tokens"), F.xxhash64("text").alias("mark"),
+    )
     mixed = mixing.mixture(counted, max_repeats=MOST_REPEATS, full_pass=True)
-    planned = mixing.schedule(counted, mixed, id_cols=("doc_id", "mix_mark"))
-    return mixing.permuted(planned, docs.columns)
+    planned = mixing.schedule(counted, mixed, id_cols=("doc_id", "mark"))
+    return mixing.permuted(planned, ["row"]).select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

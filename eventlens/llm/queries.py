@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import (
     chat, fingerprints, importance, jaccard, licences, merkle, mixing, neighbours, packing, runs, scoring, spans, toxicity,
 )
@@ -103,9 +104,9 @@ SELECT c.conv_id, c.own AS call_id, c.turn,
     concat_ws('; ',
         CASE WHEN n % 3 = 0 AND n % 60 NOT BETWEEN 1 AND 50 THEN 'limit: range' END,
         CASE WHEN n % 3 = 2 AND n % 120 NOT BETWEEN 1 AND 100 THEN 'percent: range' END,
-        CASE WHEN n % 3 = 0 AND n = 0 THEN 'query: length' END,
+        CASE WHEN n % 3 = 0 AND (n = 0 OR n > 40) THEN 'query: length' END,
         CASE WHEN n % 3 = 2 AND n > 800 THEN 'text: length' END) AS errors,
-    CASE n % 3 WHEN 0 THEN json_object('limit', n % 60, 'query', substring(c.text, 1, 40))
+    CASE n % 3 WHEN 0 THEN json_object('limit', n % 60, 'query', c.text)
         WHEN 1 THEN json_object('text', c.text, 'to', 'de')
         ELSE json_object('percent', n % 120, 'text', c.text) END::VARCHAR AS arguments,
     CASE WHEN r.call_id IS NOT NULL THEN json_object('text', r.text)::VARCHAR END AS result
@@ -132,6 +133,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", "source", F.xxhash64("text").alias("mark"), mixing.token_count("text").alias("mix_tokens")
     )
+    docs = cut(docs, "counted")  # texts are read once
     mixed = mixing.mixture(docs, target_entropy=0.95, max_repeats=4.0)
     return mixing.schedule(docs, mixed, id_cols=("doc_id", "mark")).select(
         "doc_id", "source", F.col("mix_tokens").alias("tokens"), F.col("mix_pass").alias("pass"),
@@ -147,29 +149,36 @@ def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _covered(runs: list[tuple[int, int]]) -> str:
-    """Runs of sentences as rows ``(doc_id, at, n, run)``, by their text."""
-    (first, least), parts = spans.RUNS[0], []
-    for n, words in runs:
-        few = f"AND list_sum(sizes[i:i + {first - 1}]) < {least}" if (n, words) == spans.SHORT_RUN else ""
-        parts.append(f"""SELECT doc_id, i AS pos, {n} AS n, '{n}:' || array_to_string(plain[i:i + {n - 1}], chr(1)) AS run
-            FROM (SELECT *, unnest(range(1, len(plain) - {n - 2})) AS i FROM sized)
-            WHERE list_sum(sizes[i:i + {n - 1}]) >= {words} {few}""")
-    return " UNION ALL ".join(parts)
-
-
-ORACLES["op4_sentence_spans"] = rf"""
-WITH cut AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '{spans.SENTENCE}') AS s FROM documents),
-plained AS (SELECT *, list_transform(s, lambda x: trim(regexp_replace(lower(x), '\s+', ' ', 'g'))) AS plain FROM cut),
-sized AS (SELECT *, list_transform(plain, lambda x: len(string_split(x, ' '))) AS sizes FROM plained),
-runs AS ({_covered([*spans.RUNS, spans.SHORT_RUN])}),
-later AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) AS place FROM runs),
-gone AS (SELECT doc_id, list_sort(list_distinct(flatten(list(range(pos - 1, pos - 1 + n))))) AS removed
-         FROM later WHERE place > 1 GROUP BY doc_id)
+ORACLES["op4_sentence_spans"] = r"""
+WITH texts AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
+words AS (SELECT doc_id, text, unnest(tokens) AS token, generate_subscripts(tokens, 1) - 1 AS i
+    FROM (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS tokens FROM texts)),
+plain AS (SELECT *, regexp_extract(token, '^[^\x20\x09-\x0D]+') AS w FROM words),
+lower_words AS (SELECT *, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lw,
+    regexp_matches(w, '[.!?…。！？।॥؟۔]["'')\]}]*$') OR contains(token, chr(10)) AS ends FROM plain),
+sums AS (SELECT lw, xor(4294967295::BIGINT, list_reduce(list_transform(range(1, strlen(lw) + 1), lambda k: ('0x' || hex(encode(lw))[2 * k - 1:2 * k])::BIGINT),
+    lambda c, b: list_reduce(range(8), lambda r, k: xor(r >> 1, (r & 1) * 3988292384), xor(c, b)), 4294967295::BIGINT)) AS crc
+    FROM (SELECT DISTINCT lw FROM lower_words)),
+placed AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id, text ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence
+    FROM lower_words JOIN sums USING (lw)),
+sized AS (SELECT *, count(*) OVER s AS n, row_number() OVER (s ORDER BY i) - 1 AS spot FROM placed WINDOW s AS (PARTITION BY doc_id, text, sentence)),
+least AS (SELECT *, min(crc * 1000000 - i) OVER (PARTITION BY doc_id, text, sentence ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS m FROM sized),
+cuts AS (SELECT DISTINCT doc_id, text, (1000000 - m % 1000000) % 1000000 AS i FROM least WHERE n > 11 AND spot + 10 <= n),
+begun AS (SELECT l.*, l.spot = 0 OR c.i IS NOT NULL AS begins FROM least l LEFT JOIN cuts c USING (doc_id, text, i)),
+numbered AS (SELECT *, sum(begins::INT) OVER (PARTITION BY doc_id, text ORDER BY i) - 1 AS unit FROM begun),
+units AS (SELECT doc_id, text, unit, count(*) AS n, string_agg(token, '' ORDER BY i) AS piece, string_agg(lw, ' ' ORDER BY i) AS words
+    FROM numbered GROUP BY doc_id, text, unit),
+rows_of AS (SELECT doc_id, text, list(n ORDER BY unit) AS sizes, list(piece ORDER BY unit) AS pieces, list(words ORDER BY unit) AS words FROM units GROUP BY doc_id, text),
+starts AS (SELECT *, unnest(range(1, len(sizes) + 1)) AS a FROM rows_of),
+pairs AS (SELECT *, unnest(range(a, least(a + 31, len(sizes) + 1))) AS b FROM starts),
+spans AS (SELECT doc_id, text, a, b, array_to_string(words[a:b], ' ') AS span FROM pairs
+    WHERE list_sum(sizes[a:b]) >= 21 AND list_sum(sizes[a:b]) - greatest(sizes[a], sizes[b]) < 21),
+later AS (SELECT *, rank() OVER (PARTITION BY span ORDER BY doc_id, text, a, b) AS place FROM spans),
+gone AS (SELECT doc_id, text, list_sort(list_distinct(flatten(list(range(a - 1, b))))) AS removed FROM later WHERE place > 1 GROUP BY doc_id, text)
 SELECT doc_id, coalesce(len(removed), 0) AS n_removed, coalesce(list_transform(removed, lambda x: x::INTEGER), []) AS removed,
-       CASE WHEN removed IS NULL THEN text ELSE array_to_string(list_transform(
-           list_filter(range(1, len(s) + 1), lambda i: NOT list_contains(removed, i - 1)), lambda i: s[i]), '') END AS text
-FROM cut LEFT JOIN gone USING (doc_id)
+    CASE WHEN removed IS NULL THEN d.text ELSE regexp_extract(d.text, '^[\x20\x09-\x0D]*') || array_to_string(list_transform(
+        list_filter(range(1, len(pieces) + 1), lambda i: NOT list_contains(removed, i - 1)), lambda i: pieces[i]), '') END AS text
+FROM documents d LEFT JOIN gone USING (doc_id, text) LEFT JOIN rows_of USING (doc_id, text)
 """
 
 
