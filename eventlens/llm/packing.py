@@ -43,7 +43,8 @@ MERGE_TOKENS = 8 * WINDOWS * LENGTH
 
 #: Texts that need the library's own normaliser, or its special tokens.
 OTHER = re.compile("[^\x00-\xff]|<\\|")
-CHUNK_CHARS = 1 << 20
+#: Characters cut into pieces at once; that takes some 70 bytes each.
+CHUNK_CHARS = 1 << 18
 
 _BLANK, _LETTER, _DIGIT, _SIGN = range(4)
 
