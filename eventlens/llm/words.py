@@ -13,7 +13,7 @@ from functools import cache
 import numpy as np
 
 RUN = 5
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
