@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -332,9 +333,14 @@ def density_clusters(
     border: str = "bridge",
     weight: str | None = None,
     self_weight: int = 0,
+    more: Neighbors | None = None,
+    in_both: Neighbors | None = None,
 ) -> Clustering:
     """Cluster members by density; the label is the smallest member id of the cluster.
 
+    ``more`` adds relations between the same members, in cells of its own; ``in_both`` are those that it
+    shares with ``found``, which are counted once.
+
     ``border='bridge'``: a border member joins the clusters of all cores around it into one.
     ``border='min'``: clusters are joined by cores only, a border member goes to the smallest
     label among the clusters that reach it.
@@ -342,18 +348,26 @@ def density_clusters(
     if border not in ("bridge", "min"):
         raise ValueError("border must be 'bridge' or 'min'")
     counts = neighbor_counts(found, weight, self_weight)
+    if more is not None:
+        both = neighbor_counts(in_both, weight).withColumn("n", -F.col("n"))
+        counts = counts.unionByName(neighbor_counts(more, weight)).unionByName(both).groupBy("id").agg(F.sum("n").alias("n"))
     marked = cut(
         found.members.join(counts, "id")
         .withColumn("core", core_test(F.col("n"), min_pts, core_rule)),
         "marked",
     )
+    layers = [(found, marked)]
+    if more is not None:
+        layers.append((more, cut(more.members.join(marked.select("id", "n", "core"), "id"), "marked-more")))
     edges = _density_edges(found, marked, through_border=border == "bridge")
+    for other, own in layers[1:]:
+        edges = edges.unionByName(_density_edges(other, own, through_border=border == "bridge"))
     labels = connected_components(edges, heavy_rows=found.heavy_rows).select(
         "id", F.col("component").alias("cluster")
     )
     if border == "min":
         labels = cut(labels, "core-labels")
-        claims = border_claims(found, marked, labels)
+        claims = reduce(DataFrame.unionByName, [border_claims(layer, own, labels) for layer, own in layers])
         labels = labels.unionByName(claims.groupBy("id").agg(F.min("cluster").alias("cluster")))
     points = marked.join(labels, "id", "left").select(
         "id", "n", "core", F.coalesce("cluster", F.lit(NOISE).cast("bigint")).alias("cluster")

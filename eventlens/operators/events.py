@@ -19,6 +19,8 @@ MIN_PTS = 20
 EPS = 0.35
 ROWS = 13
 BANDS = 10
+#: Cosine from which on exact neighbours are found by common terms where they need not have one.
+INDEX_FROM = 0.2
 
 
 def default_tokens() -> Column:
@@ -43,6 +45,7 @@ def event_clusters(
     lsh_tokens: Column | None = None,
     resources: DataFrame | None = None,
     resource_similarity: S.Similarity = S.any_resource,
+    index_from: float = INDEX_FROM,
     bucket_rows: int = similar.BUCKET_ROWS,
     leaf_pairs: int = LEAF_PAIRS,
     heavy_rows: int = HEAVY_ROWS,
@@ -55,12 +58,18 @@ def event_clusters(
     shared table. With a ``model`` (as ``store.load_model`` returns it) its hash tables and their
     number are used instead of new ones; tweets it does not have are noise. ``resources`` holds ``(id, resources)`` arrays of ``(uri, in_links)``.
 
+    From ``eps`` 0.5 on, exact neighbours need no common term. Whatever they say, tweets are neighbours up to some
+    hours apart; that is settled by time alone, in boxes of all tweets. Pairs further apart need a cosine above
+    0: those from ``index_from`` on share a term of the index, those below it must lie in a band of time and are
+    compared there. Neighbours that both ways find are counted once.
+
     Tweets with equal tokens and resources in one stretch of time form a cell. Vectors,
     signatures and similarities are computed once per cell, so a text that was copied a million
     times costs as much as one; the copies' times are settled by ``density``.
     """
-    if eps >= 0.5 and candidates == "exact":
-        raise ValueError("from eps 0.5 on, texts without a common term may be neighbours")
+    wide = eps >= 0.5 and candidates == "exact"
+    if wide and resources is not None:
+        raise ValueError("from eps 0.5 on, exact candidates need equal entities")
     if count_mode not in ("distinct", "bands") or candidates not in ("lsh", "exact"):
         raise ValueError("unknown count_mode or candidates")
     if count_mode == "bands" and candidates == "exact":
@@ -71,8 +80,13 @@ def event_clusters(
         rows, bands = model.rows, model.bands
     threshold = 1.0 - 2.0 * eps
     decays = time_decay == "hours"
-    # neighbours are at most this many hours apart, even at the highest similarity
-    reach = S.DECAY_HOURS * eps + 1e-6
+
+    def hours_apart(cos: float) -> float:
+        """The hours that two texts may at most be apart, with equal entities."""
+        return S.DECAY_HOURS * (1.0 - 2.0 * (1.0 - eps) / (1.0 + cos)) + 1e-6
+
+    # even at the highest similarity
+    reach = hours_apart(1.0)
 
     score = default_tokens() if score_tokens is None else score_tokens
     keep = ["hours", "resources"] + (["lsh_tokens"] if lsh_tokens is not None else [])
@@ -92,12 +106,16 @@ def event_clusters(
 
     links = F.transform(F.array_sort("resources"), lambda r: F.to_json(r))
     parts = [bag("tokens"), F.array_join(links, " ")] + ([bag("lsh_tokens")] if lsh_tokens is not None else [])
-    block = F.floor(F.col("hours") / reach) if decays else F.lit(0).cast("bigint")
+    # cells whose members are compared by time bands must be short
+    stretch = hours_apart(index_from) if wide else reach
+    block = F.floor(F.col("hours") / stretch) if decays else F.lit(0).cast("bigint")
     stored = cut(
         kept.withColumns({"content": F.sha2(F.concat_ws("\n", *parts), 256), "block": block}), "tokens"
     )
     heads = cut(
-        stored.groupBy("content", "block").agg(F.min("id").alias("cell"), F.count(F.lit(1)).alias("copies")),
+        stored.groupBy("content", "block").agg(
+            F.min("id").alias("cell"), F.count(F.lit(1)).alias("copies"), F.min("hours").alias("lo"), F.max("hours").alias("hi")
+        ),
         "heads",
     )
     head_rows = stored.join(heads.select(F.col("cell").alias("id"), "copies"), "id")
@@ -123,16 +141,18 @@ def event_clusters(
         cells = cells.join(sigs.select("id"), "id")
         near = similar.bucket_candidates(profiles, threshold, blocks, tables, bucket_rows)
         scored = similar.similar_pairs(profiles, near, threshold, sigs)
+    elif wide:
+        scored = _wide_pairs(profiles, heads, index_from, reach, stretch, hours_apart(0.0)) if decays else None
     else:
         near = similar.term_candidates(profiles, threshold, blocks)
         scored = similar.similar_pairs(profiles, near, threshold)
     cells = cut(cells, "cells")
-    scored = scored.filter(S.may_be_close(F.col("cos"), eps))
-    itself = cells.select(
+    pairs = cells.select(
         F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("cos"),
         F.lit(bands if candidates == "lsh" else 1).alias("shared"),
     )
-    pairs = scored.select("a", "b", "cos", "shared").unionByName(itself)
+    if scored is not None:
+        pairs = pairs.unionByName(scored.filter(S.may_be_close(F.col("cos"), eps)).select("a", "b", "cos", "shared"))
     if resources is None:
         pairs = pairs.withColumn("semantic", F.lit(1.0))
     else:
@@ -158,9 +178,27 @@ def event_clusters(
         time = S.time_similarity(diffs[0]) if decays else F.lit(1.0)
         return S.text_distance(time, attr("cos"), attr("semantic")) <= eps
 
-    found = find_neighbors(
-        members, cell_pairs, within, ["hours"] if decays else [], reach / 2, leaf_pairs, heavy_rows
-    )
+    coords = ["hours"] if decays else []
+    if wide:
+        # all tweets are one cell, whose pairs are neighbours whatever their cosine
+        everyone = cut(members.withColumn("cell", F.lit(0).cast("bigint")), "everyone")
+        zero = F.lit(0).cast("bigint")
+        whole = cell_pairs.sparkSession.range(1).select(
+            zero.alias("ca"), zero.alias("cb"), F.lit(0.0).alias("cos"), F.lit(1.0).alias("semantic"), F.lit(1).alias("shared")
+        )
+        by_time = find_neighbors(everyone, whole, within, coords, stretch / 2, leaf_pairs, heavy_rows)
+        if not decays:
+            return density_clusters(by_time, min_pts, core_rule="gt", border=border, self_weight=1)
+        by_text = find_neighbors(members, cell_pairs, within, coords, reach / 2, leaf_pairs, heavy_rows)
+
+        def within_all(diffs: list[Column], attr) -> Column:
+            return S.text_distance(S.time_similarity(diffs[0]), F.lit(0.0), attr("semantic")) <= eps
+
+        in_both = find_neighbors(members, cell_pairs, within_all, coords, reach / 2, leaf_pairs, heavy_rows)
+        return density_clusters(
+            by_time, min_pts, core_rule="gt", border=border, self_weight=1, more=by_text, in_both=in_both
+        )
+    found = find_neighbors(members, cell_pairs, within, coords, reach / 2, leaf_pairs, heavy_rows)
     bands_counted = count_mode == "bands"
     return density_clusters(
         found,
@@ -170,3 +208,17 @@ def event_clusters(
         weight="shared" if bands_counted else None,
         self_weight=bands if bands_counted else 1,
     )
+
+
+def _wide_pairs(
+    profiles: DataFrame, heads: DataFrame, index_from: float, reach: float, stretch: float, near: float
+) -> DataFrame:
+    """``(a, b, cos, shared)`` of all cells with a cosine above 0 of which some members may be neighbours and
+    more than ``near`` hours apart."""
+    times = heads.select(F.col("cell").alias("id"), "lo", "hi")
+    blocks = times.select("id", F.floor(F.col("lo") / F.lit(reach + stretch)).alias("block"))
+    indexed = similar.similar_pairs(profiles, similar.term_candidates(profiles, index_from, blocks), index_from)
+    weighed = profiles.select("id", "norm", V.weights(F.col("entries")).alias("weights"))
+    cells = cut(weighed.join(times, "id"), "timed-cells")
+    banded = similar.band_pairs(cells, index_from, near - 2e-6, stretch)
+    return indexed.select("a", "b", "cos", "shared").unionByName(banded.withColumn("shared", F.lit(1)))

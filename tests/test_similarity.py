@@ -202,6 +202,6 @@ def test_events_equal_brute_force(spark, options, limits):
     assert {r["id"]: (r["n"], r["core"], r["cluster"]) for r in got.points.collect()} == want
 
 
-def test_eps_too_large_for_exact_candidates(spark):
+def test_exact_candidates_beyond_one_half_need_equal_entities(spark):
     with pytest.raises(ValueError):
-        events.event_clusters(spark.range(1), eps=0.5, candidates="exact")
+        events.event_clusters(spark.range(1), eps=0.5, candidates="exact", resources=spark.range(1))
