@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut
+from ..skew import skew_join
 from . import words as W
 
 # Unicode words: runs of letters, marks, digits and underscores; two runs are one word when a
@@ -146,27 +148,46 @@ def token_offsets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def normalize_words(df: DataFrame, id_col: str, text_col: str, dictionary: DataFrame) -> DataFrame:
+#: Entries of a dictionary that is put into the plan of its own query, at most.
+SMALL_DICTIONARY = 2_000
+
+
+def normalize_words(
+    df: DataFrame, id_col: str, text_col: str, dictionary: DataFrame, small: int = SMALL_DICTIONARY
+) -> DataFrame:
     """``(id, text, normalized)``: every blank-separated word that is a ``token`` of the
     dictionary is replaced. Case counts. A null text stays, with null.
 
-    The dictionary is joined with the distinct words of each text, so it may be of any size; only
-    words it has go on. Their replacements are gathered per text, by a hash of the text rather
-    than by its id, and put in within the row.
+    A dictionary of at most ``small`` entries becomes one map, looked up within the row: nothing is shuffled. A
+    larger one is joined with the distinct words of distinct texts; of each text only the words that it has go on, a
+    set by text, and copies of a text meet it by a hash, split where there are many.
     """
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    words = texts.select(
-        F.xxhash64("text").alias("mark"), F.length("text").alias("size"),
-        F.explode(F.array_distinct(F.split("text", " ", -1))).alias("token"),
-    )
     rules = dictionary.filter("token IS NOT NULL AND replacement IS NOT NULL").groupBy("token").agg(F.max("replacement").alias("replacement"))
-    hits = words.join(rules, "token").groupBy("mark", "size").agg(
-        F.map_from_entries(F.array_distinct(F.collect_list(F.struct("token", "replacement")))).alias("rules")
-    )
-    replaced = F.transform(F.split("text", " ", -1), lambda w: F.coalesce(F.element_at("rules", w), w))
-    same = (F.xxhash64("text") == hits["mark"]) & (F.length("text") == hits["size"])
+    rules = cut(rules, "dictionary")
+    words = F.split("text", " ", -1)
+    entry = F.struct("token", "replacement")
+    if rules.count() <= small:
+        known = rules.agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("rules")).scalar()
+        # a map is searched entry by entry, so it is narrowed to the words that a text has
+        own = texts.withColumn("known", known).withColumn("hits", F.array_intersect(words, F.map_keys("known")))
+        rule = F.map_filter("known", lambda k, v: F.array_contains("hits", k))
+        own = own.select("id", "text", F.explode(F.array(F.when(F.size("hits") > 0, rule))).alias("rules"))
+    else:
+        own = _joined_rules(texts, rules, entry)
+    replaced = F.transform(words, lambda w: F.coalesce(F.try_element_at("rules", w), w))
     normalized = F.when(F.col("rules").isNull(), F.col("text")).otherwise(F.array_join(replaced, " "))
-    return texts.join(hits, same, "left").select("id", "text", normalized.alias("normalized"))
+    # a generator, so that what is done with the result does not compute it again for each use
+    return own.select("id", "text", F.explode(F.array(normalized)).alias("normalized"))
+
+
+def _joined_rules(texts: DataFrame, rules: DataFrame, entry: Column) -> DataFrame:
+    """Texts with the rules for their words, which are joined with the dictionary once for each distinct text."""
+    marked = cut(texts.withColumns({"mark": F.xxhash64("text"), "size": F.length("text")}), "marked-texts")
+    once = marked.filter("text IS NOT NULL").dropDuplicates(["mark", "size"])
+    held = once.select("mark", "size", F.explode(F.array_distinct(F.split("text", " ", -1))).alias("token"))
+    hits = skew_join(cut(held, "text-words"), rules, ["token"]).groupBy("mark", "size").agg(F.map_from_entries(F.collect_set(entry)).alias("rules"))
+    return skew_join(marked, hits, ["mark", "size"], "left", row_id=["id"])
 
 
 def elongations(text: Column) -> Column:

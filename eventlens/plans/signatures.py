@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import features as V
+from ..operators import blockpairs, features as V
 from ..operators import lsh, similar
 from ..session import new_path
 from ..sources import store
@@ -237,9 +237,7 @@ def _cosine_pairs(spark, sf):
 WITH {sql.DOC_VECTORS}, {sql.COSINES} SELECT a, b, cos FROM cosines WHERE cos >= {THRESHOLD}
 """)
 def _cosine_join(spark, sf):
-    profiles = _profiles(inputs.vectors(spark, sf))
-    near = similar.term_candidates(profiles, THRESHOLD, _one_block(profiles))
-    return similar.similar_pairs(profiles, near, THRESHOLD).select("a", "b", "cos")
+    return blockpairs.cosine_pairs(_profiles(inputs.vectors(spark, sf)), THRESHOLD)
 
 
 SHARED = " + ".join(f"CAST(x.sigs[{t + 1}] = y.sigs[{t + 1}] AS BIGINT)" for t in range(BANDS))

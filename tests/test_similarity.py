@@ -205,3 +205,27 @@ def test_events_equal_brute_force(spark, options, limits):
 def test_exact_candidates_beyond_one_half_need_equal_entities(spark):
     with pytest.raises(ValueError):
         events.event_clusters(spark.range(1), eps=0.5, candidates="exact", resources=spark.range(1))
+
+
+@pytest.mark.parametrize("block_rows", [7, 1000])
+def test_block_pairs(spark, block_rows, monkeypatch):
+    """All pairs of a few blocks or one, with dense and listed products."""
+    from eventlens.operators import blockpairs
+
+    monkeypatch.setattr(blockpairs, "DENSE_TERMS", 4)
+    monkeypatch.setattr(blockpairs, "LISTED_PAIRS", 50)
+    rng = random.Random(block_rows)
+    vectors = {}
+    for i in range(60):
+        terms = rng.sample("abcdef", rng.randint(0, 4)) + rng.sample([f"t{k}" for k in range(40)], rng.randint(1, 8))
+        vectors[i * 7] = {t: rng.uniform(0.1, 3) for t in terms}
+    vectors[1] = dict(vectors[0])
+    long = spark.createDataFrame([(i, t, w) for i, v in vectors.items() for t, w in v.items()], "id bigint, term string, w double")
+    got = {(r["a"], r["b"]): r["cos"] for r in blockpairs.cosine_pairs(V.profiles(long), 0.3, block_rows).collect()}
+    want = {(a, b): cosine(vectors[a], vectors[b]) for a, b in itertools.combinations(sorted(vectors), 2)}
+    want = {k: c for k, c in want.items() if c >= 0.3}
+    assert got.keys() == want.keys() and got == pytest.approx(want)
+    none = V.profiles(long.filter("false"))
+    assert blockpairs.cosine_pairs(none, 0.3).count() == 0
+    with pytest.raises(ValueError):
+        blockpairs.cosine_pairs(none, 0.0)

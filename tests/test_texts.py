@@ -140,6 +140,12 @@ def test_dictionary_and_normalisation(spark):
     df = spark.createDataFrame([(1, "im abt  b4 B4"), (2, "none")], "id bigint, text string")
     rows = X.normalize_words(df, "id", "text", entries).orderBy("id").collect()
     assert [r["normalized"] for r in rows] == ["I am about  b4 before", "none"]
+    for small in (0, 1000):
+        many = [(i, "im abt  b4 B4", None)[:2] for i in range(3000)] + [(3000, "none"), (3001, None), (3002, ""), (3003, "abt abt")]
+        df = spark.createDataFrame(many, "id bigint, text string").repartition(3)
+        got = {r["id"]: r["normalized"] for r in X.normalize_words(df, "id", "text", entries, small).collect()}
+        want = {i: "I am about  b4 before" for i in range(3000)}
+        assert got == want | {3000: "none", 3001: None, 3002: "", 3003: "about about"}
 
 
 def test_line_readers(spark):
