@@ -41,7 +41,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .words import BLANKS, chunks, mix
 
 LONG, WINDOW, LEAST = 11, 10, 21
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
 
 #: Characters that end a sentence as the last of a word, and those that may follow them.
 STOPS = ".!?" + "…。！？।॥؟۔"
@@ -77,7 +77,7 @@ def _sentence_ends(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
         for k, byte in enumerate(reversed(code)):
             same &= data[np.maximum(last - k, 0)] == byte
         found |= same
-    lines = np.concatenate([[0], np.cumsum(data == 10)])
+    lines = np.concatenate([np.zeros(1, np.int32), np.cumsum(data == 10, dtype=np.int32)])
     after = np.append(starts[1:], len(data))
     return found | (lines[after] > lines[ends])
 
@@ -106,12 +106,15 @@ class Units:
     hashes of words."""
 
     def __init__(self, texts: list[bytes]):
-        lower = [t.lower().split() for t in texts]
-        counts = np.array([len(w) for w in lower], np.int64)
-        words = [w for part in lower for w in part]
+        words, counts = [], np.zeros(len(texts), np.int64)
+        for k, text in enumerate(texts):
+            before = len(words)
+            words += text.lower().split()
+            counts[k] = len(words) - before
         n = len(words)
         order = np.fromiter(map(zlib.crc32, words), np.int64, n)
         self.hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), _U, n)
+        del words
         data = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
         gap = _GAP[data]
         self.begin = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1  # bytes at which words begin, after one blank
