@@ -17,8 +17,10 @@ those of its own training texts; questions are sorted hashes in ranges of equal
 by range, each at most once a block, however common. The answers are counts in the order of the question.
 From them each block builds the part of the automaton that its texts can reach, and reads them.
 
-Memory of a task: a block with its n-grams, or a range of some ``RANGE_GRAMS`` n-grams plus one for every
-block that shares its commonest. All steps are tables in the shared folder.
+Blocks are stored in buckets by their ``home``, a few neighbouring blocks, so only answers are shuffled to them.
+
+Memory of a task: a home's blocks, compressed, and one of them with its n-grams; or a range of some ``RANGE_GRAMS``
+n-grams plus one for every block that shares its commonest. All steps are tables in the shared folder.
 
 Edge cases: a null or empty text is the end alone; without training texts there is one, unknown, token
 with probability 1; null ids and equal rows are scored each; an empty table gives no row. Words are told
@@ -27,6 +29,7 @@ apart by 64-bit hashes, longer n-grams by 56 bits.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,16 +38,18 @@ import pyarrow as pa
 import pyarrow.compute
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..session import cut, measured_cut
+from ..session import cut, measured_cut, new_path
 from .words import chunks, mix, word_hashes
 
 ORDER = 3
 STRENGTHS = (1.0, 4.0, 16.0, 64.0, 256.0, 1024.0, 4096.0)
 BLOCK_BYTES, RANGE_GRAMS = 8 << 20, 4_000_000
+#: Blocks that meet their answers together; it divides 2^32.
+HOME_BLOCKS = 4
 #: Tokens that one lane of a traversal reads.
 LANE = 512
 
@@ -264,6 +269,19 @@ def _blocks(docs: DataFrame, id_type: str, block_bytes: int) -> DataFrame:
     return docs.select("id", "train", "text").mapInArrow(apply, out)
 
 
+def _home() -> Column:
+    return (F.col("block") - F.pmod("block", F.lit(HOME_BLOCKS))).alias("home")
+
+
+def _bucketed(blocks: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """The blocks as a table in the shared folder, in buckets by ``home``, and aggregates over its rows."""
+    spark, seen = blocks.sparkSession, Observation()
+    buckets = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    watched = blocks.select("*", _home()).observe(seen, *[expr.alias(metric) for metric, expr in metrics.items()])
+    watched.write.format("parquet").bucketBy(buckets, "home").option("path", new_path(spark, name)).saveAsTable(name)
+    return spark.table(name), seen.get
+
+
 def _block_of(row: pa.Table | pa.RecordBatch, k: int = 0) -> Block:
     return Block(*(row[c][k].as_py() for c in ("words", "places", "sizes", "train")))
 
@@ -324,7 +342,8 @@ def score(
     learn from. ``base_score`` is the sum of the empty state's weights alone."""
     read = docs.select(F.col(id_col).alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text).cast("string").alias("text"))
     id_type = read.schema["id"].dataType.simpleString()
-    blocks, facts = measured_cut(_blocks(read, id_type, block_bytes), "score-blocks", tokens=F.sum("tokens"), training=F.sum("training"))
+    stored = f"score_blocks_{uuid.uuid4().hex}"
+    blocks, facts = _bucketed(_blocks(read, id_type, block_bytes), stored, tokens=F.sum("tokens"), training=F.sum("training"))
     n = facts["training"] or 0
     ranges = max(1, order * (facts["tokens"] or 0) // range_grams)
     answers, facts = measured_cut(_answers(_questions(blocks, ranges, order)), "score-answers", known=F.sum("known"))
@@ -332,7 +351,7 @@ def score(
     out = f"id {id_type}, train boolean, n_tokens long, n_known long, base_score double, scores array<double>, left_out array<double>"
     id_arrow = to_arrow_type(read.schema["id"].dataType)
 
-    def apply(block: pa.Table, told: pa.Table) -> pa.Table:
+    def scores_of(block: pa.Table, told: pa.Table) -> pa.Table:
         own = _block_of(block)
         grams, sizes, train = own.grams(order)
         by_range = sorted(zip(told["n"].to_pylist(), told["range"].to_pylist(), told["counts"].to_pylist(), strict=True))
@@ -350,8 +369,14 @@ def score(
         ]
         return pa.table(columns, names=["id", "train", "n_tokens", "n_known", "base_score", "scores", "left_out"])
 
-    asked = blocks.select("block", "ids", "words", "places", "sizes", "train")
-    scored = cut(asked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(apply, out), "scores")
+    def apply(home: pa.Table, told: pa.Table) -> pa.Table:
+        own = [told.filter(pa.compute.equal(told["block"], block)) for block in home["block"]]
+        return pa.concat_tables([scores_of(home.slice(k, 1), answer) for k, answer in enumerate(own)])
+
+    asked = blocks.select("home", "block", "ids", "words", "places", "sizes", "train")
+    met = asked.groupBy("home").cogroup(answers.select("*", _home()).groupBy("home"))
+    scored = cut(met.applyInArrow(apply, out), "scores")
+    docs.sparkSession.sql(f"DROP TABLE {stored}")  # the files stay as long as those of other steps
     likeliest = scored.select(*[F.sum(F.get("left_out", F.lit(k))) for k in range(len(strengths))]).first()
     best = max(range(len(strengths)), key=lambda k: likeliest[k] or 0.0) if any(likeliest) else 0
     return scored.select(
