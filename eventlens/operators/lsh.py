@@ -9,14 +9,11 @@ from __future__ import annotations
 
 import itertools
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
 from ..skew import HEAVY_ROWS, group_pairs, skew_join
-from . import features as V
 
 ROWS = 4
 BANDS = 4
@@ -39,33 +36,28 @@ def sign_bit(digest: Column, function: int) -> Column:
     return F.shiftright(digit, 3 - place % 4).bitwiseAND(F.lit(1))
 
 
-def profile_bits(profiles: DataFrame, rows: int = ROWS, bands: int = BANDS, seed: int = SEED) -> DataFrame:
-    """``(id, bits)`` of profiles ``(id, entries)``: one bit per function, 1 where the dot product
-    is above zero. Digests are made in the JVM; the products of one vector with all hyperplanes
-    are one small matrix product, in Arrow batches."""
+def hash_bits(vectors: DataFrame, rows: int = ROWS, bands: int = BANDS, seed: int = SEED) -> DataFrame:
+    """``(id, bits)`` of vectors ``(id, term, w)``: one bit per function, 1 where the dot product is above
+    zero. The products are conditional sums, one per function, combined before the shuffle by document; the
+    signs of 60 functions are sliced from one number. Null terms and weights add nothing."""
     count = rows * bands
-    blocks = range((count + BITS_PER_DIGEST - 1) // BITS_PER_DIGEST)
-
-    @F.pandas_udf("string")
-    def bits(weights: pd.Series, digests: pd.Series) -> pd.Series:
-        out = []
-        for w, hashed in zip(weights, digests):
-            raw = np.frombuffer(b"".join(hashed), dtype=np.uint8).reshape(len(w), len(blocks), 32)
-            signs = np.unpackbits(raw, axis=2)[:, :, :BITS_PER_DIGEST].reshape(len(w), -1)[:, :count]
-            dots = np.asarray(w) @ (2.0 * signs - 1.0)
-            out.append("".join("1" if d > 0 else "0" for d in np.round(dots, DIGITS)))
-        return pd.Series(out)
-
-    digests = F.transform(
-        "entries",
-        lambda e: F.unhex(F.concat(*[sign_digest(e["term"], block, seed) for block in blocks])),
-    )
-    return profiles.select("id", bits(F.transform("entries", lambda e: e["w"]), digests).alias("bits"))
+    words = [F.conv(F.substring(F.col(f"_digest{b}"), 15 * k + 1, 15), 16, 10).cast("bigint").alias(f"_signs{4 * b + k}")
+             for b in range((count + BITS_PER_DIGEST - 1) // BITS_PER_DIGEST) for k in range(4)][: (count + 59) // 60]
+    digests = [sign_digest(F.col("term"), b, seed).alias(f"_digest{b}") for b in range((len(words) + 3) // 4)]
+    signed = vectors.select("id", "w", *digests).select("id", "w", *words)
+    dots = [
+        F.sum(F.when(F.shiftright(f"_signs{i // 60}", 59 - i % 60).bitwiseAND(F.lit(1)) == 1, F.col("w")).otherwise(-F.col("w")))
+        for i in range(count)
+    ]
+    sums = signed.groupBy("id").agg(*[F.round(dot, DIGITS).alias(f"_dot{i}") for i, dot in enumerate(dots)])
+    bits = [F.when(F.col(f"_dot{i}") > 0, "1").otherwise("0") for i in range(count)]
+    return sums.select("id", F.concat(*bits).alias("bits"))
 
 
-def hash_bits(vectors: DataFrame, rows: int = ROWS, bands: int = BANDS, seed: int = SEED) -> DataFrame:
-    """``(id, bits)`` of vectors ``(id, term, w)``; one shuffle, by document."""
-    return profile_bits(V.profiles(vectors), rows, bands, seed)
+def profile_bits(profiles: DataFrame, rows: int = ROWS, bands: int = BANDS, seed: int = SEED) -> DataFrame:
+    """``(id, bits)`` of profiles ``(id, entries)``; ids are unique, a profile without entries has no bit set."""
+    entries = profiles.select("id", F.explode_outer("entries").alias("e"))
+    return hash_bits(entries.select("id", "e.term", "e.w"), rows, bands, seed)
 
 
 def profile_signatures(profiles: DataFrame, rows: int, bands: int, seed: int = SEED) -> DataFrame:
@@ -86,7 +78,8 @@ def band_signatures(bits: Column, rows: int, bands: int) -> Column:
 
 def signatures(vectors: DataFrame, rows: int = ROWS, bands: int = BANDS, seed: int = SEED) -> DataFrame:
     """``(id, sigs)`` of vectors."""
-    return profile_signatures(V.profiles(vectors), rows, bands, seed)
+    bits = hash_bits(vectors, rows, bands, seed)
+    return bits.select("id", band_signatures(F.col("bits"), rows, bands).alias("sigs"))
 
 
 def hash_tables(sigs: DataFrame) -> DataFrame:
@@ -119,12 +112,48 @@ def remove(tables: DataFrame, ids: DataFrame) -> DataFrame:
 
 def bucket_index(tables: DataFrame) -> DataFrame:
     """``(table_id, sig, n, first_id, last_id)``: the size and id range of every bucket. Its
-    members are the rows of ``tables`` with that key; they are never gathered into one value."""
+    members are the rows of ``tables`` with that key, or the chunks of ``bucket_members``."""
     return tables.groupBy("table_id", "sig").agg(
         F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id")
     )
 
 
+#: Members of a chunk, at most.
+CHUNK = 1024
+
+
+def bucket_members(tables: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``(table_id, sig, first_id, n, gaps)``: the posting lists of all buckets, in chunks of up to ``chunk``
+    members in ascending order. ``gaps`` are the differences of each id from the one before; the first is 0.
+
+    Rows are sorted by ranges of bucket and id, so a crowded bucket is spread over tasks and no window holds
+    more than the rows of a range. Chunks of a bucket do not overlap; equal rows count each. Ids are whole
+    numbers; rows with a null id are in no bucket.
+    """
+    spark = tables.sparkSession
+    ranges = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = tables.filter("id IS NOT NULL").select("table_id", "sig", F.col("id").cast("bigint").alias("id"))
+    ranged = rows.repartitionByRange(ranges, "table_id", "sig", "id").withColumn("_range", F.spark_partition_id())
+    own = Window.partitionBy("table_id", "sig", "_range").orderBy("id")
+    placed = ranged.withColumn("_chunk", F.floor((F.row_number().over(own) - 1) / chunk))
+    chunks = placed.groupBy("table_id", "sig", "_range", "_chunk").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    before = F.concat(F.slice("ids", 1, 1), F.slice("ids", 1, F.size("ids") - 1))
+    return chunks.select(
+        "table_id", "sig", F.element_at("ids", 1).alias("first_id"), F.size("ids").alias("n"),
+        F.zip_with("ids", before, lambda i, last: i - last).alias("gaps"),
+    )
+
+
+def expand_members(chunks: DataFrame) -> DataFrame:
+    """``(table_id, sig, id)`` of the chunks of ``bucket_members``, each read by itself."""
+    read = F.struct(F.col("first_id").alias("id"), F.array().cast("array<bigint>").alias("ids"))
+    ids = F.aggregate(
+        "gaps", read,
+        lambda s, gap: F.struct((s["id"] + gap).alias("id"), F.array_append(s["ids"], s["id"] + gap).alias("ids")),
+    )["ids"]
+    return chunks.select("table_id", "sig", F.explode(ids).alias("id"))
+
+
 def inverted(tables: DataFrame) -> DataFrame:
     """``(id, buckets)``: the buckets of an id as sorted ``table-signature`` keys; one per table."""
     key = F.concat_ws("-", F.col("table_id").cast("string"), "sig")

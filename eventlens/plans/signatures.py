@@ -69,6 +69,12 @@ def _lsh_bucket_index(spark, sf):
     return lsh.bucket_index(_tables(spark, sf))
 
 
+@query("lsh_bucket_members", f"{DOC_TABLES} SELECT table_id, sig, id FROM tables")
+def _lsh_bucket_members(spark, sf):
+    """The members of every bucket, read from its posting lists."""
+    return lsh.expand_members(inputs.stored(lsh.bucket_members(_tables(spark, sf))))
+
+
 @query("lsh_inverted", f"""
 {DOC_TABLES} SELECT id, string_agg(CAST(table_id AS VARCHAR) || '-' || sig, ' ' ORDER BY table_id) AS buckets
 FROM tables GROUP BY id

@@ -478,6 +478,16 @@ def _ema(spark, sf):
     return rows.withColumn("ema", F.round("ema", 6))
 
 
+@query("ema_running", """
+SELECT user_id, event_id, round(list_reduce(list(value) OVER (PARTITION BY user_id ORDER BY ts, event_id
+ROWS UNBOUNDED PRECEDING), (s, x) -> 0.5 * x + 0.5 * s), 6) AS ema FROM events
+""")
+def _ema_running(spark, sf):
+    """The average of a user's values at every event."""
+    rows = series.running_average(inputs.table(spark, sf, "events"), "user_id", ["ts", "event_id"], "value")
+    return rows.select("user_id", "event_id", F.round("ema", 6).alias("ema"))
+
+
 @query("series_mean", "SELECT user_id, round(avg(value), 6) AS mean FROM events GROUP BY user_id")
 def _series_mean(spark, sf):
     rows = series.series_mean(inputs.table(spark, sf, "events"), "user_id", "value")
