@@ -14,7 +14,8 @@ one. The strength ``k`` is, of a few, the one under which every training token i
 Counts cover all texts and have no limits, so the model grows with the corpus and is never in one place.
 Texts are put in blocks of some ``BLOCK_BYTES``. A block asks for the counts of its distinct n-grams, adding
 those of its own training texts; questions are sorted hashes in ranges of equal width, so that n-grams meet
-by range, each at most once a block, however common. The answers are counts in the order of the question.
+by range, each at most once a block, however common. The answers are the counts of all other blocks, mostly
+none, in the order of the question.
 From them each block builds the part of the automaton that its texts can reach, and reads them.
 
 Blocks are stored in buckets by their ``home``, a few neighbouring blocks, so only answers are shuffled to them.
@@ -49,7 +50,7 @@ ORDER = 3
 STRENGTHS = (1.0, 4.0, 16.0, 64.0, 256.0, 1024.0, 4096.0)
 BLOCK_BYTES, RANGE_GRAMS = 8 << 20, 4_000_000
 #: Blocks that meet their answers together; it divides 2^32.
-HOME_BLOCKS = 4
+HOME_BLOCKS = 2
 #: Tokens that one lane of a traversal reads.
 LANE = 512
 
@@ -312,8 +313,8 @@ def _questions(blocks: DataFrame, ranges: int, order: int) -> DataFrame:
 
 
 def _answers(questions: DataFrame) -> DataFrame:
-    """``(block, range, n, counts, known)``: the counts in all training texts, in the order of the question;
-    ``known`` on one row a range is the number of its tokens that training texts have."""
+    """``(block, range, n, counts, known)``: the counts in the training texts of all other blocks, in the order
+    of the question; ``known`` on one row a range is the number of its tokens that training texts have."""
 
     def apply(rows: pa.Table) -> pa.Table:
         out = []
@@ -324,7 +325,7 @@ def _answers(questions: DataFrame) -> DataFrame:
             _, back = np.unique(np.concatenate(hashes), return_inverse=True)
             total = np.zeros(int(back.max()) + 1, _U)
             np.add.at(total, back, own)
-            answers = np.split(total[back], np.cumsum([len(h) for h in hashes])[:-1])
+            answers = np.split(total[back] - own, np.cumsum([len(h) for h in hashes])[:-1])
             known = [int((total > 0).sum()) if n == 1 else 0] + [0] * (len(answers) - 1)
             for block, r, answer, k in zip(asked["block"].to_pylist(), asked["range"].to_pylist(), answers, known, strict=True):
                 out.append((block, r, n, pack(answer), k))
@@ -355,12 +356,14 @@ def score(
         own = _block_of(block)
         grams, sizes, train = own.grams(order)
         by_range = sorted(zip(told["n"].to_pylist(), told["range"].to_pylist(), told["counts"].to_pylist(), strict=True))
-        counts = [np.concatenate([unpack(c) for m, _, c in by_range if m == k]) for k in range(1, order + 1)]
+        others = [np.concatenate([unpack(c) for m, _, c in by_range if m == k]) for k in range(1, order + 1)]
+        counts = [gram.counts(train) + other for gram, other in zip(grams, others, strict=True)]
         automaton = Automaton(grams, counts, n, v, strengths)
         scores, word = automaton.read(sizes), grams[0].at
         begin = np.cumsum(sizes) - sizes
         known = np.add.reduceat(automaton.known[0][word].astype(np.int64), begin)
         base = np.add.reduceat(automaton.arcs[0][word, 0], begin)
+        automaton.arcs.clear()  # as large as what is computed next
         left_out = [automaton.left_out(train).tolist()] + [None] * (len(sizes) - 1)
         doubles = pa.list_(pa.float64())
         columns = [
@@ -370,8 +373,10 @@ def score(
         return pa.table(columns, names=["id", "train", "n_tokens", "n_known", "base_score", "scores", "left_out"])
 
     def apply(home: pa.Table, told: pa.Table) -> pa.Table:
-        own = [told.filter(pa.compute.equal(told["block"], block)) for block in home["block"]]
-        return pa.concat_tables([scores_of(home.slice(k, 1), answer) for k, answer in enumerate(own)])
+        return pa.concat_tables(
+            scores_of(home.slice(k, 1), told.filter(pa.compute.equal(told["block"], block)))
+            for k, block in enumerate(home["block"])
+        )
 
     asked = blocks.select("home", "block", "ids", "words", "places", "sizes", "train")
     met = asked.groupBy("home").cogroup(answers.select("*", _home()).groupBy("home"))
