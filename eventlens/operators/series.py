@@ -10,7 +10,7 @@ from ..session import cut, measured_cut
 SMOOTHING = 0.5
 
 #: Members of a stretch, at every level.
-STRETCH = 128
+STRETCH = 512
 
 #: What a stretch of a series does to the average ``s`` before it: with ``n`` values it becomes
 #: ``(1 - a)^n s + added``, and ``begun`` where there is none before.

@@ -480,11 +480,11 @@ def _ema(spark, sf):
 
 @query("ema_running", """
 SELECT user_id, event_id, round(list_reduce(list(value) OVER (PARTITION BY user_id ORDER BY ts, event_id
-ROWS UNBOUNDED PRECEDING), (s, x) -> 0.5 * x + 0.5 * s), 6) AS ema FROM events
+ROWS UNBOUNDED PRECEDING), lambda s, x: x / 3 + 2 * s / 3), 6) AS ema FROM events
 """)
 def _ema_running(spark, sf):
-    """The average of a user's values at every event."""
-    rows = series.running_average(inputs.table(spark, sf, "events"), "user_id", ["ts", "event_id"], "value")
+    """The average of a user's values at every event. Thirds never lie half-way between two roundings."""
+    rows = series.running_average(inputs.table(spark, sf, "events"), "user_id", ["ts", "event_id"], "value", 1 / 3)
     return rows.select("user_id", "event_id", F.round("ema", 6).alias("ema"))
 
 
