@@ -65,7 +65,9 @@ def _stretches(rows: DataFrame, decay: float) -> list[DataFrame]:
     while last is None or last > 0:
         item = F.struct("place", *[c for c in rows.columns if c not in ("key", "part", "place")])
         stretch = F.floor(F.col("place") / STRETCH).alias("stretch")
-        grouped = rows.groupBy("key", "part", stretch).agg(F.array_sort(F.collect_list(item), _by_place).alias("items"))
+        # the caller's columns may have no order; without them the natural one, by place, is faster
+        by = [_by_place] if "row" in rows.columns else []
+        grouped = rows.groupBy("key", "part", stretch).agg(F.array_sort(F.collect_list(item), *by).alias("items"))
         level = grouped.select(
             "key", "part", F.col("stretch").alias("place"), "items",
             _joined(F.transform("items", lambda i: i["effect"]), decay).cast(EFFECT).alias("effect"),
