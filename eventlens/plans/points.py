@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import density as D
 from ..operators import points as P
+from ..operators.cellgraph import cell_clusters
 from ..operators.components import connected_components
 from ..operators.series import number_rows
 from ..session import new_path
@@ -21,6 +22,11 @@ def _clustered(spark, sf, **options):
     return P.dbscan(inputs.points(spark, sf), MIN_PTS, EPS, **options)
 
 
+def _labelled(spark, sf, **options):
+    """Where neighbours need no counts: clusters by the graph of cells."""
+    return cell_clusters(inputs.points(spark, sf), MIN_PTS, EPS, **options)
+
+
 @query("euclidean", f"""
 WITH {sql.POINTS}, nxt AS (SELECT id, x, y, lead(x) OVER (ORDER BY id) AS x2, lead(y) OVER (ORDER BY id) AS y2 FROM pts)
 SELECT id, round(sqrt((x - x2) * (x - x2) + (y - y2) * (y - y2)), 6) AS distance FROM nxt WHERE x2 IS NOT NULL
@@ -90,7 +96,7 @@ LABELLED = "SELECT id, coalesce(cluster, -2) AS cluster FROM pts LEFT JOIN label
 
 @query("dbscan_points", f"{NEIGHBORS} {LABELLED}")
 def _dbscan(spark, sf):
-    return _clustered(spark, sf).points.select("id", "cluster")
+    return _labelled(spark, sf).select("id", "cluster")
 
 
 @query("dbscan_points_gt", f"{NEIGHBORS_GT} {LABELLED}")
@@ -161,7 +167,7 @@ def _cluster_stats(spark, sf):
 SELECT id, coalesce(number, -2) AS cluster FROM pts LEFT JOIN labels USING (id) LEFT JOIN numbers USING (cluster)
 """)
 def _dbscan_classic(spark, sf):
-    points = inputs.stored(_clustered(spark, sf, border="min").points.select("id", "cluster"))
+    points = inputs.stored(_labelled(spark, sf, border="min").select("id", "cluster"))
     names = points.filter(F.col("cluster") != D.NOISE).select("cluster").distinct()
     numbers = number_rows(names, [F.col("cluster")]).select("cluster", (F.col("number") + 1).alias("number"))
     return points.join(numbers, "cluster", "left").select(
@@ -212,7 +218,7 @@ MANHATTAN = "abs(a.x - b.x) + abs(a.y - b.y)"
 WITH RECURSIVE {sql.POINTS}, {sql.point_pairs(EPS, MANHATTAN)}, {sql.clusters('> 4')} {LABELLED}
 """)
 def _dbscan_manhattan(spark, sf):
-    return _clustered(spark, sf, core_rule="gt", norm=P.manhattan).points.select("id", "cluster")
+    return _labelled(spark, sf, core_rule="gt", norm=P.manhattan).select("id", "cluster")
 
 
 URL_EPS = 6
