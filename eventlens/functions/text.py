@@ -123,28 +123,65 @@ def boosted_text(text: Column, split_tags: Column, tags: Column) -> Column:
     )
 
 
-def token_offsets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, pos, token, start, end)`` of every Unicode word, offsets in characters.
+#: Numbers that are added up one by one; a text's words are taken in blocks of as many, and blocks again.
+OFFSET_BLOCK = 32
 
-    The pieces between the words give the offsets: a running sum over a text's own words.
-    """
+
+def _total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda s, n: s + n)
+
+
+def _sum_blocks(numbers: str) -> Column:
+    """The sum of every block of an array column."""
+    blocks = F.sequence(F.lit(0), F.floor(F.size(numbers) / OFFSET_BLOCK).cast("int"))
+    return F.transform(blocks, lambda b: _total(F.slice(numbers, b * OFFSET_BLOCK + 1, F.lit(OFFSET_BLOCK))))
+
+
+def _before(numbers: str, bases: str, pos: Column) -> Column:
+    """The sum of all numbers before ``pos``, given that of all blocks before each block."""
+    block = F.floor(pos / OFFSET_BLOCK).cast("int")
+    return F.get(bases, block) + _total(F.slice(numbers, block * OFFSET_BLOCK + 1, pos - block * OFFSET_BLOCK))
+
+
+def pinned(df: DataFrame, **columns: Column) -> DataFrame:
+    """The rows with further columns, by a generator, so that what is done with them does not compute
+    them again for each use."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
+def word_pieces(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, tokens, gaps, widths, bases)``: the Unicode words of a text, the length of what lies before
+    each, the length of both together, and where every block of ``OFFSET_BLOCK`` words begins."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    pieces = df.select(
+    found = df.select(
         F.col(id_col).alias("id"),
-        F.posexplode(
-            F.arrays_zip(
-                F.split(text, WORD, -1).alias("gap"),
-                F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("token"),
-            )
-        ).alias("pos", "piece"),
-    ).select("id", "pos", "piece.gap", "piece.token")
-    order = Window.partitionBy("id").orderBy("pos")
-    width = F.length("gap") + F.coalesce(F.length("token"), F.lit(0))
-    end = F.sum(width).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return (
-        pieces.withColumn("end", end)
-        .filter("token IS NOT NULL")
-        .select("id", "pos", "token", (F.col("end") - F.length("token")).alias("start"), "end")
+        F.inline(F.array(F.struct(
+            F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("tokens"),
+            F.transform(F.split(text, WORD, -1), F.length).alias("gaps"),
+        ))),
+    )
+    width = F.zip_with("tokens", "gaps", lambda t, g: F.coalesce(F.length(t), F.lit(0)) + g)
+    found = pinned(pinned(found, widths=width), sums=_sum_blocks("widths"))
+    found = pinned(found, tops=_sum_blocks("sums"))
+    found = pinned(found, starts=F.transform("tops", lambda s, i: _total(F.slice("tops", F.lit(1), i))))
+    bases = F.transform("sums", lambda s, b: _before("sums", "starts", b))
+    return pinned(found, bases=bases).select("id", "tokens", "gaps", "widths", "bases")
+
+
+def word_start(pos: Column) -> Column:
+    """Where word ``pos`` of a row of ``word_pieces`` begins, in characters."""
+    return _before("widths", "bases", pos) + F.get("gaps", pos)
+
+
+def token_offsets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, pos, token, start, end)`` of every Unicode word, offsets in characters; a null or
+    empty text has none.
+
+    The pieces between the words give the offsets, by sums within the row: nothing is shuffled.
+    """
+    words = F.transform("tokens", lambda t, i: F.struct(i.alias("pos"), t.alias("token"), word_start(i).alias("start")))
+    return word_pieces(df, id_col, text_col).select("id", F.inline(words)).select(
+        "id", "pos", "token", "start", (F.col("start") + F.length("token")).alias("end")
     )
 
 

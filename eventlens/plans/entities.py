@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import annotations as A
 from ..functions import similarity as S
 from ..operators import annotate
-from ..session import new_path
+from ..session import new_path, spread
 from ..sources import store
 from . import inputs, sql
 from .registry import query
@@ -136,7 +136,8 @@ spans AS (SELECT id, unnest(w) AS surface FROM found UNION ALL
 SELECT id, surface, kind, uri, count(*) AS n FROM spans JOIN gazetteer USING (surface) GROUP BY ALL
 """)
 def _gazetteer_link(spark, sf):
-    found = annotate.link_entities(inputs.texts(spark, sf), inputs.gazetteer(spark, sf), max_words=2)
+    texts = spread(inputs.texts(spark, sf))
+    found = annotate.link_entities(texts, inputs.gazetteer(spark, sf), max_words=2)
     return found.groupBy("id", "surface", "kind", "uri").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -10,7 +10,7 @@ from ..functions import text as X
 from ..functions import words as W
 from ..operators import features as V
 from ..operators import series
-from ..session import new_path
+from ..session import new_path, spread
 from ..sources import files, tweets
 from . import inputs, sql
 from .registry import query
@@ -244,7 +244,7 @@ SELECT id, pos, token, length(token) AS width FROM pieces
 """)
 def _token_offsets(spark, sf):
     texts = inputs.texts(spark, sf)
-    found = X.token_offsets(texts, "id", "text").join(texts, "id")
+    found = X.token_offsets(spread(texts), "id", "text").join(texts, "id")
     # a token is what its text holds between its offsets
     held = F.substr(F.col("text"), F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int"))
     return found.select("id", F.col("pos").cast("bigint").alias("pos"), held.alias("token"),

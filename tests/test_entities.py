@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -105,6 +106,28 @@ def test_gazetteer(spark):
     assert got == {(3, "u1"), (13, "u1"), (13, "u2")}
 
 
+@pytest.mark.parametrize("bits", [64, annotate.FILTER_BITS])
+def test_gazetteer_equals_brute_force(spark, monkeypatch, bits):
+    """A filter too small to keep anything back gives the same links as the large one."""
+    monkeypatch.setattr(annotate, "FILTER_BITS", bits)
+    rnd = random.Random(6)
+    words = ["Rome", "new", "york", "City", "of", "light", "x", "ÉTÉ"]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.choice([0, 1, 3, 40, 90]))) for _ in range(40)]
+    names = {" ".join(rnd.choice(words).lower() for _ in range(rnd.randint(1, 4))) for _ in range(30)}
+    rows = [(n, f"u{k}", "", 0.9, 0.1) for n in sorted(names) for k in range(1 + len(n) % 2)] + [(None, "u", "", 0.9, 0.1)]
+    want = []
+    for i, text in enumerate(texts):
+        own, at = text.lower().split(), 0
+        for k, word in enumerate(own):
+            spans = [" ".join(own[k : k + n]) for n in (1, 2, 3) if k + n <= len(own)]
+            want += [(i, s, at, u) for s in spans for n, u, *_ in rows if n == s]
+            at += len(word) + 1
+    df = spark.createDataFrame([*enumerate(texts), (99, None)], "id bigint, text string")
+    gazetteer = spark.createDataFrame(rows, "surface string, uri string, types string, score double, second_rank double")
+    got = annotate.link_entities(df, gazetteer).select("id", "surface", "start", "uri").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and want
+
+
 def test_queries_and_sql_go_together():
     import __spark_entry__ as entry
 

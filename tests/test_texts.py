@@ -1,4 +1,5 @@
 import re
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,6 +104,22 @@ def test_offsets(spark):
     assert all(text[r["start"]:r["end"]] == r["token"] for r in rows)
 
 
+def test_offsets_of_long_texts(spark):
+    """Texts of more words than a block, and than a block of blocks, hold, with letters that change when lowered."""
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice(["a", "Été", "İx", "don't", "3,1"]) + rnd.choice([" ", ", ", "\n\n", " 😀 "]) for _ in range(n))
+             for n in (0, 1, 31, 32, 33, 64, 1023, 1024, 1025, 2500)]
+    df = spark.createDataFrame(list(enumerate(["", None, " . ", *texts])), "id bigint, text string")
+    held = dict(df.collect())
+    rows = X.token_offsets(df, "id", "text").collect()
+    assert all(held[r["id"]][r["start"]:r["end"]] == r["token"] for r in rows)
+    places = {}
+    for r in sorted(rows, key=lambda r: (r["id"], r["pos"])):
+        places.setdefault(r["id"], []).append(r["start"])
+    assert all(starts == sorted(set(starts)) for starts in places.values())
+    assert [len(places.get(i, [])) for i in range(13)] == [0, 0, 0, 0, 1, 31, 32, 33, 64, 1023, 1024, 1025, 2500]
+
+
 TAGGED = "array<struct<begin int, end int, word string, tag string, lemma string>>"
 
 
