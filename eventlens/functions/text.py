@@ -106,14 +106,63 @@ def tokenize(text: Column, stem: str = "s", stop: list[str] | None = None) -> Co
 def stem_by_table(df: DataFrame, id_col: str, tokens: str, stems: DataFrame) -> DataFrame:
     """``(id, tokens)`` with each token's stem by a table ``(surface, stem)``, in order and with
     copies; tokens the table lacks stay, null tokens are an empty array. Of several stems of a
-    surface the smallest counts. Ids are unique; use it on ``tokenize(..., stem='none')``."""
-    rows = df.select(F.col(id_col).alias("id"), F.posexplode_outer(tokens).alias("pos", "token"))
-    distinct = rows.filter("token IS NOT NULL").select("token").distinct()
-    table = stems.groupBy(F.col("surface").alias("token")).agg(F.min("stem").alias("stem"))
-    found = rows.join(distinct.join(table, "token"), "token", "left")
-    word = F.struct("pos", F.coalesce("stem", "token").alias("token"))
-    words = F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), word)))
-    return found.groupBy("id").agg(words["token"].alias("tokens"))
+    surface the smallest counts. Ids are unique; use it on ``tokenize(..., stem='none')``.
+
+    Only words that the table changes are joined and gathered, each once a text; a word of very many
+    texts is split over tasks.
+    """
+    rows = cut(df.select(F.col(id_col).alias("id"), F.coalesce(tokens, F.array().cast("array<string>")).alias("tokens")), "tokens")
+    table = stems.groupBy(F.col("surface").alias("token")).agg(F.min("stem").alias("stem")).filter("token <> stem")
+    held = cut(rows.select("id", F.explode(F.array_distinct("tokens")).alias("token")), "text-words")
+    rule = F.struct("token", "stem")
+    hits = skew_join(held, table, ["token"]).groupBy(F.col("id").alias("own")).agg(F.map_from_entries(F.collect_list(rule)).alias("rules"))
+    changed = F.transform("tokens", lambda t: F.coalesce(F.try_element_at("rules", t), t))
+    return rows.join(hits, F.col("id").eqNullSafe(F.col("own")), "left").select(
+        "id", F.when(F.col("rules").isNull(), F.col("tokens")).otherwise(changed).alias("tokens")
+    )
+
+
+# Endings and what may stand for them; a doubled letter before the last two pairs may also be single.
+INFLECTIONS = (("ies", "y"), ("ied", "y"), ("es", ""), ("s", ""), ("ing", ""), ("ed", ""), ("ing", "e"), ("ed", "e"))
+MIN_STEM = 3
+
+
+def _uninflected(token: Column) -> Column:
+    """What a token may be a form of, as an array of ``(rank, stem)``, likelier stems first."""
+
+    def body(ending: str) -> Column:
+        return F.left(token, F.length(token) - len(ending))
+
+    tried = []
+    for ending, other in INFLECTIONS:
+        fits = token.endswith(ending)
+        if ending == "s":
+            fits = fits & ~F.right(token, F.lit(2)).isin("ss", "us")
+        tried.append(F.when(fits, F.concat(body(ending), F.lit(other))))
+        if not other and ending in ("ing", "ed"):
+            twice = F.right(body(ending), F.lit(1)) == F.substring(body(ending), -2, 1)
+            tried.append(F.when(fits & twice, F.left(body(ending), F.length(body(ending)) - 1)))
+    ranked = F.array(*[F.struct(F.lit(rank).alias("rank"), stem.alias("stem")) for rank, stem in enumerate(tried)])
+    return F.filter(ranked, lambda c: F.length(c["stem"]) >= MIN_STEM)
+
+
+def vocabulary_stems(terms: DataFrame) -> DataFrame:
+    """``(surface, stem)`` of distinct terms ``(token)``: a form is led back to a word only if the corpus
+    itself has that word as a term, so names and words that merely end alike stay. Of several the first of
+    ``INFLECTIONS`` counts. One step is made: of ``buildings`` comes ``building``. Terms without a stem have no
+    row, null has none. Both sides of the join have a word once, so no key is crowded.
+    """
+    words = cut(terms.filter("token IS NOT NULL").select("token").distinct(), "vocabulary")
+    tried = words.select(F.col("token").alias("surface"), F.inline(_uninflected(F.col("token"))))
+    known = tried.join(words.select(F.col("token").alias("stem")), "stem")
+    return known.groupBy("surface").agg(F.min_by("stem", "rank").alias("stem"))
+
+
+def stem_by_vocabulary(df: DataFrame, id_col: str, tokens: str) -> DataFrame:
+    """``(id, tokens)`` with inflected tokens led back to words of the same corpus; null tokens are an empty
+    array. Ids are unique; use it on ``tokenize(..., stem='none')``."""
+    rows = cut(df.select(F.col(id_col).alias("id"), F.col(tokens).alias("tokens")), "tokens")
+    return stem_by_table(rows, "id", "tokens", vocabulary_stems(rows.select(F.explode("tokens").alias("token"))))
 
 
 def boosted_text(text: Column, split_tags: Column, tags: Column) -> Column:

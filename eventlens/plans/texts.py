@@ -216,6 +216,30 @@ def _tokenize(spark, sf):
     return inputs.texts(spark, sf).select("id", _joined(X.tokenize(F.col("text"))).alias("tokens"))
 
 
+@query("stem_by_vocabulary", f"""
+WITH texts AS (SELECT doc_id AS id, {sql.tokens('text', False)} AS w FROM documents),
+vocabulary AS (SELECT DISTINCT unnest(w) AS t FROM texts),
+tried AS (
+  SELECT t, 0 AS rank, t[:-4] || 'y' AS stem FROM vocabulary WHERE ends_with(t, 'ies')
+  UNION ALL SELECT t, 1, t[:-4] || 'y' FROM vocabulary WHERE ends_with(t, 'ied')
+  UNION ALL SELECT t, 2, t[:-3] FROM vocabulary WHERE ends_with(t, 'es')
+  UNION ALL SELECT t, 3, t[:-2] FROM vocabulary WHERE ends_with(t, 's') AND NOT ends_with(t, 'ss') AND NOT ends_with(t, 'us')
+  UNION ALL SELECT t, 4, t[:-4] FROM vocabulary WHERE ends_with(t, 'ing')
+  UNION ALL SELECT t, 5, t[:-5] FROM vocabulary WHERE ends_with(t, 'ing') AND t[-4] = t[-5]
+  UNION ALL SELECT t, 6, t[:-3] FROM vocabulary WHERE ends_with(t, 'ed')
+  UNION ALL SELECT t, 7, t[:-4] FROM vocabulary WHERE ends_with(t, 'ed') AND t[-3] = t[-4]
+  UNION ALL SELECT t, 8, t[:-4] || 'e' FROM vocabulary WHERE ends_with(t, 'ing')
+  UNION ALL SELECT t, 9, t[:-3] || 'e' FROM vocabulary WHERE ends_with(t, 'ed')),
+stems AS (SELECT tried.t, arg_min(stem, rank) AS stem FROM tried JOIN vocabulary v ON v.t = stem WHERE length(stem) >= 3 GROUP BY tried.t),
+rows AS (SELECT id, unnest(w) AS t, unnest(range(len(w))) AS pos FROM texts),
+stemmed AS (SELECT id, string_agg(coalesce(stem, t), ' ' ORDER BY pos) AS tokens FROM rows LEFT JOIN stems USING (t) GROUP BY id)
+SELECT id, coalesce(tokens, '') AS tokens FROM texts LEFT JOIN stemmed USING (id)
+""")
+def _stem_by_vocabulary(spark, sf):
+    words = spread(inputs.texts(spark, sf)).select("id", X.tokenize(F.col("text"), stem="none").alias("words"))
+    return X.stem_by_vocabulary(words, "id", "words").select("id", _joined(F.col("tokens")).alias("tokens"))
+
+
 @query("min_tokens", f"""
 SELECT conv_id, turn, len(tokens) AS n FROM
 (SELECT conv_id, turn, {sql.tokens('text', False)} AS tokens FROM conversations) WHERE len(tokens) >= 2

@@ -258,3 +258,19 @@ def test_stem_by_table(spark):
     stems = spark.createDataFrame([("running", "run"), ("ran", "run"), ("ran", "rune"), ("dog", "d")], "surface string, stem string")
     found = {r["id"]: r["tokens"] for r in X.stem_by_table(docs, "doc", "words", stems).collect()}
     assert found == {1: ["run", "run", "run", "cat"], 2: [], 3: [], None: ["run", None]}
+
+
+def test_stem_by_vocabulary(spark):
+    forms = {
+        "cities": "city", "carried": "carry", "boxes": "box", "cats": "cat", "falling": "fall", "stopping": "stop",
+        "planned": "plan", "making": "make", "used": "use", "walked": "walk", "buildings": "building", "building": "build",
+    }
+    kept = ["thing", "red", "boss", "virus", "news", "sing", "dries", "string", "ing", "s", ""]  # no word of theirs is a term
+    texts = [sorted(forms), sorted(set(forms.values())), kept, None, [], ["cats", "cat", "cats"]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc long, words array<string>").repartition(3)
+    got = {r["id"]: r["tokens"] for r in X.stem_by_vocabulary(df, "doc", "words").collect()}
+    want = [forms.get(t, t) for t in sorted(set(forms.values()))]
+    assert got == {0: [forms[t] for t in sorted(forms)], 1: want, 2: kept, 3: [], 4: [], 5: ["cat"] * 3}
+    assert X.stem_by_vocabulary(df.limit(0), "doc", "words").count() == 0
+    table = {r["surface"]: r["stem"] for r in X.vocabulary_stems(df.select(F.explode("words").alias("token"))).collect()}
+    assert table == forms
