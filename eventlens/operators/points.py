@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 from ..skew import HEAVY_ROWS, skew_join, small_side
 from .density import LEAF_PAIRS, Clustering, Neighbors, density_clusters, find_neighbors
+from .metric import metric_candidates
 
 Norm = Callable[[list[Column]], Column]
 
@@ -159,9 +160,9 @@ def metric_neighbors(
 ) -> Neighbors:
     """Settle which objects ``(id, value)`` lie within ``eps`` under any metric.
 
-    Equal values share a cell, so copies are counted and never paired. Distinct values are
-    blocked by their distances to two pivots: by the triangle inequality neighbours differ by at
-    most ``eps`` in both, which makes the pivot distances grid coordinates.
+    Equal values share a cell, so copies are counted and never paired. Distinct values meet in the regions
+    of a tree of pivots (``metric.metric_candidates``); pairs whose distances to two values far apart differ by more
+    than ``eps`` are put aside before the distance itself is taken. A null value has no neighbours.
     """
     values = objects.select(F.col(value).alias("value")).distinct()
     first = values.agg(F.min("value").alias("p")).first()["p"]
@@ -176,13 +177,15 @@ def metric_neighbors(
         ),
         "values",
     )
-    near = eps_join(spots, eps, norm=chebyshev, part_rows=part_rows).select("src", "dst")
     named = spots.select("id", "value")
+    met = metric_candidates(
+        spots.filter("value IS NOT NULL"), distance, eps, part_rows=part_rows, heavy_rows=heavy_rows
+    )
+    apart = F.greatest(F.abs(F.col("x_a") - F.col("x_b")), F.abs(F.col("y_a") - F.col("y_b")))
     pairs = (
-        near.join(named.select(F.col("id").alias("src"), F.col("value").alias("va")), "src")
-        .join(named.select(F.col("id").alias("dst"), F.col("value").alias("vb")), "dst")
-        .filter(distance(F.col("va"), F.col("vb")) <= eps)
-        .select(F.col("src").alias("ca"), F.col("dst").alias("cb"))
+        met.filter(F.round(apart, DIGITS) <= eps)
+        .filter(distance(F.col("value_a"), F.col("value_b")) <= eps)
+        .select(F.col("id_a").alias("ca"), F.col("id_b").alias("cb"))
     )
     same = spots.select(F.col("id").alias("ca"), F.col("id").alias("cb"))
     rows = cut(objects.select("id", F.col(value).alias("value")), "objects")
