@@ -148,10 +148,13 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
     # one row per range from here on
     firsts = made.filter("kind = 1").select("part", F.struct(F.col("text"), F.col("fingerprint")).alias("first"))
     lasts = made.filter("kind = 2").select("part", "id", "text", "fingerprint")
+    # the numbers of the ranges alone are put in order; texts move by joins
     by_part = Window.orderBy("part")
     whole = by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    following = F.coalesce(F.lead("first").over(by_part), F.first("first").over(whole))
-    edges = lasts.join(firsts, "part").withColumn("following", following)
+    after = F.coalesce(F.lead("part").over(by_part), F.first("part").over(whole))
+    steps = firsts.select("part").select("part", after.alias("after_part"))
+    heads = firsts.select(F.col("part").alias("after_part"), F.col("first").alias("following"))
+    edges = lasts.join(steps, "part").join(heads, "after_part")
 
     def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
