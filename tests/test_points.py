@@ -54,6 +54,33 @@ def test_dbscan_equals_brute_force(points, rule, border, limits):
     assert result(P.dbscan(points, 4, EPS, rule, border, **limits)) == want
 
 
+def make_copies(copies=30):
+    """Few places with many points each, so close that no box proves all of them neighbours."""
+    rnd = random.Random(5)
+    places = [(round(rnd.uniform(0, 3), 3), round(rnd.uniform(0, 3), 3)) for _ in range(12)]
+    return [(i, *places[i % 12]) for i in range(12 * copies)] + [(900, 9.0, 9.0)]
+
+
+@pytest.mark.parametrize("border", ["bridge", "min"])
+def test_copies_are_counted_not_paired(spark, border):
+    rows = make_copies()
+    df = spark.createDataFrame(rows, "id bigint, x double, y double")
+    want = clusters([r[0] for r in rows], near_pairs(rows, euclid), lambda n: n >= 40, border)
+    got = P.dbscan(df, 40, EPS, border=border)
+    assert result(got) == want
+    assert got.found.total == 13
+    assert sum(leaf.count() for leaf in got.found.leaves) <= 13 * 14 / 2
+    counts = {r["id"]: r["n"] for r in P.point_counts(df, EPS).collect()}
+    assert counts == {i: n for i, (n, _, _) in want.items()}
+
+
+def test_points_without_a_place_are_noise(spark):
+    rows = [(1, 0.0, 0.0), (2, 0.0, -0.0), (3, 0.5, 0.5), (4, None, 0.0), (5, float("nan"), 0.1), (6, 0.2, None)]
+    df = spark.createDataFrame(rows, "id bigint, x double, y double")
+    got = result(P.dbscan(df, 2, EPS))
+    assert got == {i: (2, True, 1) if i <= 3 else (0, False, -2) for i in range(1, 7)}
+
+
 def test_crowded_cell_is_not_expanded(points):
     found = P.point_neighbors(points, EPS, leaf_pairs=16)
     leaves = sum(leaf.count() for leaf in found.leaves)
