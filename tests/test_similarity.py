@@ -229,3 +229,27 @@ def test_block_pairs(spark, block_rows, monkeypatch):
     assert blockpairs.cosine_pairs(none, 0.3).count() == 0
     with pytest.raises(ValueError):
         blockpairs.cosine_pairs(none, 0.0)
+
+
+def test_block_pairs_settle_stretches_and_signatures_in_tiles(spark, monkeypatch):
+    """What a pair must have besides its cosine is settled in the tile, so only results leave a group."""
+    from eventlens.operators import blockpairs
+
+    monkeypatch.setattr(blockpairs, "TILE_ROWS", 7)
+    rng = random.Random(4)
+    vectors = {i: {t: rng.uniform(0.1, 3) for t in rng.sample("abcdefgh", 3)} for i in range(40)}
+    long = spark.createDataFrame([(i, t, w) for i, v in vectors.items() for t, w in v.items()], "id bigint, term string, w double")
+    block = {i: rng.choice([-1, 0, 1, 2, 5]) for i in vectors}
+    sigs = {i: ["".join(rng.choice("01") for _ in range(2)) for _ in range(3)] for i in vectors if i != 13}
+    stretches = spark.createDataFrame(list(block.items()), "id bigint, block bigint")
+    signed = spark.createDataFrame(list(sigs.items()), "id bigint, sigs array<string>")
+    found = blockpairs.cosine_pairs(V.profiles(long), 0.3, 20, stretches, signed).collect()
+    got = {(r["a"], r["b"]): (r["cos"], r["shared"]) for r in found}
+    want = {}
+    for a, b in itertools.combinations(sorted(sigs), 2):
+        shared = sum(x == y for x, y in zip(sigs[a], sigs[b], strict=True))
+        cos = cosine(vectors[a], vectors[b])
+        if cos >= 0.3 and shared and abs(block[a] - block[b]) <= 1:
+            want[(a, b)] = (cos, shared)
+    assert len(found) == len(got) and got.keys() == want.keys() and want
+    assert all(got[k][1] == n and got[k][0] == pytest.approx(c) for k, (c, n) in want.items())
