@@ -268,11 +268,14 @@ SELECT id, pos, token, length(token) AS width FROM pieces
 """)
 def _token_offsets(spark, sf):
     texts = inputs.texts(spark, sf)
-    found = X.token_offsets(spread(texts), "id", "text").join(texts, "id")
+    parts = texts.select("id", X.text_parts(F.col("text")).alias("parts"))
+    found = X.offset_words(spread(texts), "id", "text").join(parts, "id")
     # a token is what its text holds between its offsets
-    held = F.substr(F.col("text"), F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int"))
-    return found.select("id", F.col("pos").cast("bigint").alias("pos"), held.alias("token"),
-                        (F.col("end") - F.col("start")).cast("bigint").alias("width"))
+    rows = F.transform("words", lambda w: F.struct(
+        w["pos"].cast("bigint").alias("pos"), X.held(F.col("parts"), w["start"], w["end"] - w["start"]).alias("token"),
+        (w["end"] - w["start"]).cast("bigint").alias("width"),
+    ))
+    return found.select("id", F.inline(rows))
 
 
 @query("repeated_patterns")

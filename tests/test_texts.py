@@ -274,3 +274,31 @@ def test_stem_by_vocabulary(spark):
     assert X.stem_by_vocabulary(df.limit(0), "doc", "words").count() == 0
     table = {r["surface"]: r["stem"] for r in X.vocabulary_stems(df.select(F.explode("words").alias("token"))).collect()}
     assert table == forms
+
+
+def test_words_are_held_by_parts_of_a_text(spark, monkeypatch):
+    text = "ab 𝒳yz " + "w" * 1300 + " don't " + "é" * 511 + " end"
+    for part in (512, 3):
+        monkeypatch.setattr(X, "PART", part)
+        df = spark.createDataFrame([(1, text), (2, ""), (3, None)], "id long, text string")
+        rows = X.offset_words(df, "id", "text").join(df.select("id", X.text_parts(F.col("text")).alias("parts")), "id")
+        held = F.transform("words", lambda w: F.struct(w["token"], X.held(F.col("parts"), w["start"], w["end"] - w["start"])))
+        got = {r["id"]: [tuple(p) for p in r["w"]] for r in rows.select("id", held.alias("w")).collect()}
+        assert got[2] == [] and got[3] == [] and len(got[1]) == 6 and all(a == b for a, b in got[1])
+
+
+def test_long_runs_are_looked_for_between_blanks_only(spark):
+    texts = ["a" * 51, "x " * 60, "b" * 50 + "\n" + "c" * 60 + " d", "é.b" * 30, "", "a" * 50]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select(X._has_long_run(F.col("t")).alias("got"), F.col("t").rlike(X.LONG_RUN).alias("want")).collect()
+    assert all(r["got"] == r["want"] for r in rows) and sum(r["got"] for r in rows) == 3
+
+
+def test_words_are_replaced_by_a_dictionary(spark):
+    df = spark.createDataFrame([(1, "a  b c "), (2, None), (3, ""), (4, "z")], "id long, text string")
+    words = spark.createDataFrame([("a", "x"), ("c", "é"), ("", "-")], "token string, replacement string")
+    for small in (0, 10):
+        out = X.normalize_words(df, "id", "text", words, small)
+        assert "ArrowEvalPython" in out._jdf.queryExecution().executedPlan().toString()
+        got = {r["id"]: r["normalized"] for r in out.collect()}
+        assert got == {1: "x - b é -", 2: None, 3: "-", 4: "z"}
