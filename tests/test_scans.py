@@ -79,3 +79,25 @@ def test_signs_of_native_sums(spark):
     for i in range(6):
         dots = [sum(w * (1 if planes[t][k] else -1) for j, t, w in rows if j == i) for k in range(len(functions))]
         assert [got[i][f] for f in functions] == ["1" if d > 1e-9 else "0" for d in dots]
+
+
+def test_pairs_of_groups_go_as_numbers_and_meet_once(spark):
+    rnd = random.Random(3)
+    for width in (2, 70):  # short signatures are numbers, long ones stay texts
+        sigs = [["".join(rnd.choice("01") for _ in range(2)).rjust(width, "1") for _ in range(8)] for _ in range(40)]
+        df = spark.createDataFrame(list(enumerate(sigs)), "id bigint, sigs array<string>")
+        _, pairs = lsh._met_groups(df, 8)
+        assert dict(pairs.dtypes) == {"id_a": "bigint", "n_a": "bigint", "id_b": "bigint", "n_b": "bigint"}
+        got = collections.Counter((r["id_a"], r["id_b"]) for r in pairs.collect())
+        first = {tuple(s): i for i, s in reversed(list(enumerate(sigs)))}
+        want = {(i, j) for s, i in first.items() for t, j in first.items() if i < j and any(x == y for x, y in zip(s, t))}
+        assert set(got) == want and set(got.values()) <= {1}
+
+
+def test_signs_are_found_for_batches_of_documents(spark):
+    plan = lsh.hash_bits(spark.createDataFrame([(1, "a", 1.0)], "id bigint, term string, w double"))
+    assert "MapInArrow" in plan._jdf.queryExecution().executedPlan().toString()
+    odd = [(1, "a", float("nan")), (2, None, 1.0), (2, "a", None), (None, "a", 2.0), (3, "a", float("inf"))]
+    got = {r["id"]: r["bits"] for r in lsh.hash_bits(spark.createDataFrame(odd, "id bigint, term string, w double")).collect()}
+    sign = got[3]
+    assert got[1] == "1" * 16 and got[2] == "0" * 16 and got[None] == sign and "0" in sign and "1" in sign
