@@ -253,3 +253,15 @@ def test_block_pairs_settle_stretches_and_signatures_in_tiles(spark, monkeypatch
             want[(a, b)] = (cos, shared)
     assert len(found) == len(got) and got.keys() == want.keys() and want
     assert all(got[k][1] == n and got[k][0] == pytest.approx(c) for k, (c, n) in want.items())
+
+
+@pytest.mark.parametrize("block_rows", [7, 8000])
+def test_a_vector_goes_once_to_a_pair_of_places(profiles, monkeypatch, block_rows):
+    blocks = cut(profiles.select("id", F.floor(F.col("id") / 10).alias("block")))
+    near = similar.term_candidates(profiles, 0.3, blocks)
+    got = similar.similar_pairs(profiles, near, 0.3, None, blocks, block_rows)
+    assert found_pairs(got) == pytest.approx(wanted_pairs(0.3, lambda a, b: abs(a // 10 - b // 10) <= 1))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "map_zip_with" not in plan
+    none = similar.Candidates(near.pairs.filter("false"))
+    assert similar.similar_pairs(profiles, none, 0.3, None, blocks).count() == 0
