@@ -3,6 +3,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from eventlens.operators import density as D
 from eventlens.operators import points as P
@@ -143,6 +144,33 @@ def test_no_edges(spark):
     assert connected_components(df).count() == 0
 
 
+@pytest.mark.parametrize("limits", [{}, {"part_rows": 9, "bunch_ids": 4}])
+def test_links_of_copies_are_all_pairs(spark, limits):
+    """Places with many points, an id that comes twice, and points that have no place."""
+    rows = make_copies(9) + [(900, 0.5, 0.5), (900, 0.5, 0.5), (901, None, 0.5), (902, math.nan, 0.5), (903, math.inf, 0.5)]
+    df = spark.createDataFrame(rows, "id bigint, x double, y double").withColumn("odd", F.expr("nullif(id % 2, 0) = 1"))
+    usable = [r for r in rows if r[0] not in (901, 902, 903)]
+    want = sorted(tuple(sorted(p)) for p in near_pairs(usable, euclid) if p[0] != p[1])
+    assert sorted((r["src"], r["dst"]) for r in P.eps_join(df, EPS, **limits).collect()) == want
+    both = sorted(want + [(b, a) for a, b in want])
+    assert sorted((r["src"], r["dst"]) for r in P.eps_links(df, EPS, **limits).collect()) == both
+    odd = P.eps_links(df, EPS, source="odd", **limits).collect()
+    assert sorted((r["src"], r["dst"]) for r in odd) == [p for p in both if p[0] % 2]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("join", [P.eps_join, P.eps_links])
+def test_pairs_of_points_are_made_after_the_only_join_of_places(points, join):
+    """The join meets places, and pairs of ids come from generators above it."""
+    plan = _plan(join(points, EPS))
+    met = plan.index("Join Inner")
+    assert plan.count("Join Inner") == 1
+    assert plan[:met].count("explode(ids_") + plan[:met].count("explode(from") + plan[:met].count("explode(to") == 2
+
+
 def test_cluster_lines_hold_the_points_as_they_are(spark):
     import __spark_entry__ as entry
     from eventlens.plans import inputs
