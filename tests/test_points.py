@@ -171,6 +171,14 @@ def test_pairs_of_points_are_made_after_the_only_join_of_places(points, join):
     assert plan[:met].count("explode(ids_") + plan[:met].count("explode(from") + plan[:met].count("explode(to") == 2
 
 
+def test_core_edges_are_not_joined_again(spark):
+    """Cores are marked on the points, so no join takes in pairs of ids."""
+    import __spark_entry__ as entry
+
+    plan = _plan(entry.queries()["core_edges"](spark, "/root/testdata/sf0.001"))
+    assert plan.count("Join") == plan[max(plan.index("explode(from"), plan.index("explode(to")):].count("Join") > 0
+
+
 def test_cluster_lines_hold_the_points_as_they_are(spark):
     import __spark_entry__ as entry
     from eventlens.plans import inputs
