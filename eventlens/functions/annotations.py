@@ -46,10 +46,26 @@ def annotation_kind(types: Column) -> Column:
     )
 
 
-def span_has_noun(start: Column, surface: Column, tagged: Column) -> Column:
-    """A noun begins between ``start`` and ``start`` + length of the surface, both included."""
-    end = start + F.length(surface)
-    return F.exists(tagged, lambda t: t["begin"].between(start, end) & t["tag"].startswith("N"))
+def noun_begins(tagged: Column) -> Column:
+    """``(begins, steps)``: where the nouns of a tagged text begin, ascending, and the powers of two below their
+    number, descending: what ``span_has_noun`` searches. To be taken once per text."""
+    nouns = F.filter(tagged, lambda t: t["tag"].startswith("N") & t["begin"].isNotNull())
+    begins = F.array_sort(F.transform(nouns, lambda t: t["begin"]))
+    last = F.length(F.bin(F.size(nouns))) - 1
+    steps = F.transform(F.sequence(last, F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2), k).cast("int"))
+    return F.struct(begins.alias("begins"), steps.alias("steps"))
+
+
+def span_has_noun(start: Column, surface: Column, nouns: Column) -> Column:
+    """A noun begins between ``start`` and ``start`` + length of the surface, both included. ``nouns`` are the text's
+    ``noun_begins``, halved until the first one not before ``start`` is found."""
+    begins, end = nouns["begins"], start + F.length(surface)
+    before = F.aggregate(
+        nouns["steps"], F.lit(0),
+        lambda pos, step: F.when(F.get(begins, pos + step - 1) < start, pos + step).otherwise(pos),
+    )
+    first = F.get(begins, before)
+    return F.when(begins.isNotNull(), F.coalesce(first <= end, F.when(first.isNull(), False)))
 
 
 def wanted_entity(uri: Column, surface: Column) -> Column:
@@ -67,11 +83,11 @@ def parse_annotations(response: Column, tagged: Column) -> Column:
     """
     found = F.from_json(response, RESPONSE_SCHEMA)["Resources"]
 
-    def keep(r: Column) -> Column:
+    def keep(r: Column, nouns: Column) -> Column:
         start = r["@offset"].cast("int")
         return (
             convincing(r["@similarityScore"].cast("double"), r["@percentageOfSecondRank"].cast("double"))
-            & span_has_noun(start, r["@surfaceForm"], tagged)
+            & span_has_noun(start, r["@surfaceForm"], nouns)
             & wanted_entity(r["@URI"], r["@surfaceForm"])
         )
 
@@ -84,7 +100,9 @@ def parse_annotations(response: Column, tagged: Column) -> Column:
         )
 
     none = F.expr(f"CAST(array() AS array<{ANNOTATION_SCHEMA}>)")
-    kept = F.transform(F.filter(found, keep), shape)
+    # one element, so that the nouns are taken once and not for every resource
+    texts = F.array(F.struct(found.alias("found"), noun_begins(tagged).alias("nouns")))
+    kept = F.transform(texts, lambda t: F.transform(F.filter(t["found"], lambda r: keep(r, t["nouns"])), shape))[0]
     return F.when(response.isNull(), None).otherwise(F.coalesce(kept, none))
 
 

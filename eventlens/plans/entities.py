@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import annotations as A
 from ..functions import similarity as S
+from ..functions.text import pinned
 from ..operators import annotate
 from ..session import new_path, spread
 from ..sources import store
@@ -59,12 +60,15 @@ def _annotation_filter(spark, sf):
 AND t.begin BETWEEN e.start AND e.start + length(e.surface)) AS has_noun FROM entities e
 """)
 def _span_has_noun(spark, sf):
-    rows = inputs.responses(spark, sf).select(
-        "id", "tagged", F.explode(F.from_json("response", A.RESPONSE_SCHEMA)["Resources"]).alias("r")
-    )
-    start = F.col("r.@offset").cast("int")
-    noun = A.span_has_noun(start, F.col("r.@surfaceForm"), F.col("tagged"))
-    return rows.select("id", start.alias("start"), noun.alias("has_noun"))
+    found = F.from_json("response", A.RESPONSE_SCHEMA)["Resources"]
+    rows = pinned(inputs.responses(spark, sf), found=found, nouns=A.noun_begins(F.col("tagged")))
+
+    def spans(r):
+        start = r["@offset"].cast("int")
+        noun = A.span_has_noun(start, r["@surfaceForm"], F.col("nouns"))
+        return F.struct(start.alias("start"), noun.alias("has_noun"))
+
+    return rows.select("id", F.inline(F.transform("found", spans)))
 
 
 @query("annotation_roundtrip", f"""

@@ -50,6 +50,27 @@ def test_acceptance(spark, change, kept):
     assert len(got) == (1 if kept else 0)
 
 
+@pytest.mark.parametrize("nouns", [[], [5], [3, 3, 9], [0, 4, 8, 15, 16, 23, 42], list(range(0, 64, 3))])
+def test_first_noun_is_searched(spark, nouns):
+    """Unsorted tokens, spans before, among and behind the nouns, and what is null."""
+    tagged = [(b, b + 1, "w", "NN", None) for b in reversed(nouns)] + [(7, 8, "w", "VB", None), (None, 8, "w", "NN", None)]
+    spans = [(start, "x" * n) for start in (-2, 0, 1, 3, 6, 9, 17, 41, 43, 70) for n in (0, 1, 4)]
+    rows = spark.createDataFrame([(tagged, spans)], f"tagged {TAGGED}, spans array<struct<start int, surface string>>")
+    held = rows.select("spans", A.noun_begins(F.col("tagged")).alias("nouns"))
+    got = held.select(F.transform("spans", lambda s: A.span_has_noun(s["start"], s["surface"], F.col("nouns")))).first()[0]
+    assert got == [any(start <= b <= start + len(text) for b in nouns) for start, text in spans]
+    none = held.select(A.span_has_noun(F.lit(None).cast("int"), F.lit("x"), F.col("nouns"))).first()[0]
+    assert none is (None if nouns else False)
+
+
+def test_tagged_text_is_not_copied_to_every_entity(spark):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["span_has_noun"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    top = plan[:plan.index("Aggregate")]
+    assert "exists(" not in top and "explode(" not in top
+
+
 def test_answers_without_resources(spark):
     assert parse(spark, {}) == []
     assert parse(spark, None) is None
